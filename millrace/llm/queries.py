@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, packing, splits
+from millrace.llm import encoding, packing, splits, truncation
 from millrace.sources.tables import table
 
 
@@ -18,6 +18,20 @@ def p3_splits(spark, sf_dir):
     return splits.split_entries(entries, table(spark, sf_dir, "repo_moves"))
 
 
+def _ended(spark, sf_dir):
+    entries = table(spark, sf_dir, "trajectories", "entry_id", "repo", "patch", "test_stdout")
+    results = table(spark, sf_dir, "tool_results", "result_id", "tool_name", "output")
+    return truncation.cut_values(truncation.text_values(entries, results, table(spark, sf_dir, "repo_moves")))
+
+
+def p5_found(spark, sf_dir):
+    return _ended(spark, sf_dir).where("odds > 0").select("table_name", "row_id", "field").distinct()
+
+
+def p5_rates(spark, sf_dir):
+    return truncation.cut_rates(_ended(spark, sf_dir))
+
+
 def p6_ids(spark, sf_dir):
     return encoding.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -33,6 +47,8 @@ def p7_fill(spark, sf_dir):
 QUERIES = {
     "p3_found": p3_found,
     "p3_splits": p3_splits,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,

@@ -36,7 +36,7 @@ def repository_names(moves: DataFrame) -> DataFrame:
         .withColumn("record", F.struct("old", "new"))
     )
     named = pairs.select("record", F.explode(F.array("old", "new")).alias("entity"))
-    return (
+    return checkpointed(
         named.join(record_components(named), "record")
         .groupBy("entity")
         .agg(F.min("component").alias("component"))
