@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, packing, splits, truncation
+from millrace.llm import encoding, packing, splits, syntax, truncation
 from millrace.sources.tables import table
 
 
+def p2_found(spark, sf_dir):
+    return syntax.unparsable_files(table(spark, sf_dir, "source_files", "file_id", "file_path", "source"))
+
+
+def p2_rates(spark, sf_dir):
+    files = table(spark, sf_dir, "source_files", "file_id", "repo", "file_path", "source")
+    return syntax.parse_rates(files, table(spark, sf_dir, "repo_moves"), table(spark, sf_dir, "file_symbols", "file_id", "parse_error"))
+
+
 def p3_found(spark, sf_dir):
     entries = table(spark, sf_dir, "trajectories", "entry_id", "instance_id", "repo")
     return splits.related_entries(entries, table(spark, sf_dir, "repo_moves"))
@@ -45,6 +54,8 @@ def p7_fill(spark, sf_dir):
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
     "p5_found": p5_found,
