@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, packing, splits, syntax, truncation
+from millrace.llm import encoding, overlap, packing, splits, syntax, truncation
 from millrace.sources.tables import table
 
 
@@ -27,6 +27,14 @@ def p3_splits(spark, sf_dir):
     return splits.split_entries(entries, table(spark, sf_dir, "repo_moves"))
 
 
+def p4_found(spark, sf_dir):
+    return overlap.cross_split_pairs(table(spark, sf_dir, "fine_tuning", "example_id", "split", "source", "messages"))
+
+
+def p4_report(spark, sf_dir):
+    return overlap.overlap_report(table(spark, sf_dir, "fine_tuning", "example_id", "split", "source", "messages"))
+
+
 def _ended(spark, sf_dir):
     entries = table(spark, sf_dir, "trajectories", "entry_id", "repo", "patch", "test_stdout")
     results = table(spark, sf_dir, "tool_results", "result_id", "tool_name", "output")
@@ -58,6 +66,8 @@ QUERIES = {
     "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_ids": p6_ids,
