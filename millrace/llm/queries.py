@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, overlap, packing, splits, syntax, truncation
+from millrace.llm import encoding, overlap, packing, spam, splits, syntax, truncation
 from millrace.sources.tables import table
 
 
@@ -61,6 +61,14 @@ def p7_fill(spark, sf_dir):
     return packing.fill_report(p7_containers(spark, sf_dir))
 
 
+def p8_found(spark, sf_dir):
+    return spam.spam_pages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p8_rates(spark, sf_dir):
+    return spam.spam_rates(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_rates": p2_rates,
@@ -73,6 +81,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_rates": p8_rates,
 }
 
 P3_FOUND = r"""
