@@ -41,10 +41,13 @@ def source_rows(files: DataFrame) -> DataFrame:
 
 
 def lexed(language: Column, source: Column) -> Column:
-    @F.pandas_udf("array<struct<kind:string,at:int>>")
+    """array<string>: the tokens as 'kind at'. Equal tokens share one string, so a batch of files stays small."""
+
+    @F.pandas_udf("array<string>")
     def lex(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        names: dict[tuple[str, int], str] = {}
         for languages, sources in batches:
-            yield pd.Series([[{"kind": k, "at": a} for k, a in lexers.LEXERS[lang](text)] for lang, text in zip(languages, sources)], dtype=object)
+            yield pd.Series([[names.get(t) or names.setdefault(t, f"{t[0]} {t[1]}") for t in lexers.LEXERS[lang](text)] for lang, text in zip(languages, sources)], dtype=object)
 
     return lex(language, source)
 
@@ -52,7 +55,7 @@ def lexed(language: Column, source: Column) -> Column:
 def token_rows(rows: DataFrame) -> DataFrame:
     """One row per token: (file_id, uid, language, pos, kind, at)."""
     return rows.select("file_id", "uid", "language", F.posexplode(lexed(F.col("language"), F.col("source"))).alias("pos", "t")).select(
-        "file_id", "uid", "language", "pos", "t.kind", "t.at"
+        "file_id", "uid", "language", "pos", F.substring_index("t", " ", 1).alias("kind"), F.substring_index("t", " ", -1).cast("int").alias("at")
     )
 
 
