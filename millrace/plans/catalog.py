@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.plans import drift_queries
+from millrace.plans import drift_queries, retrieval_queries
 
-MODULES = (drift_queries,)
+MODULES = (drift_queries, retrieval_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
