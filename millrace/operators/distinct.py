@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 500_000
 
 
-def rows_once(df: DataFrame, *keys: str) -> DataFrame:
+def rows_once(df: DataFrame, *keys: str, whole: bool = True) -> DataFrame:
     """``df`` with rows that are repeated as a whole only once.
 
-    Only rows whose ``keys`` occur several times are compared in all columns, which therefore must be of types
-    that can be compared (no maps). A first job over the keys alone finds them; where they are few, as the count
-    then shows, they are broadcast and the other rows are not shuffled at all.
+    Only rows whose ``keys`` occur several times are compared: in all columns, or with ``whole=False`` by the keys
+    alone, as is needed where a column is a map. A first job over the keys finds them; where they are few, as the
+    count then shows, they are broadcast and the other rows are not shuffled at all.
     """
     repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*(F.col(k).alias(f"_{k}") for k in keys))
+    compared = None if whole else list(keys)
     found = repeated.limit(BROADCAST_KEYS + 1).count()
     if not found:
         return df
     if found > BROADCAST_KEYS:
-        return df.dropDuplicates()
+        return df.dropDuplicates(compared)
     same = [df[k].eqNullSafe(F.col(f"_{k}")) for k in keys]
     few = F.broadcast(repeated)
-    return df.join(few, same, "left_anti").unionByName(df.join(few, same, "left_semi").dropDuplicates())
+    return df.join(few, same, "left_anti").unionByName(df.join(few, same, "left_semi").dropDuplicates(compared))
