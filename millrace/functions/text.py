@@ -70,6 +70,7 @@ def numbered(text: Column) -> Column:
 
 def code_names(text: Column) -> Column:
     """Names of code that a text mentions: in back quotes, in camel case, in snake case, or dotted; distinct."""
-    rules = [r"`([A-Za-z_][\w.]*)`", r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b", r"\b([a-z]+_[a-z0-9_]+)\b", r"\b([a-z_]+(?:\.[a-z_]+)+)\b"]
+    joined = [r"([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)", r"([a-z]+_[a-z0-9_]+)", r"([a-z_]+(?:\.[a-z_]+)+)"]
+    rules = [r"`([A-Za-z_][\w.]*)`", *(rf"(?<![A-Za-z0-9_]){rule}(?![A-Za-z0-9_])" for rule in joined)]
     found = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rule), F.lit(1)) for rule in rules]
     return F.array_distinct(F.concat(*found))
