@@ -22,10 +22,16 @@ from millrace.llm.splits import normal_repo, repository_names
 TRAINING_VALUES = 30_000
 #: Prior probability that a value which stands at no limit lost its end in transfer.
 TRANSFER_RATE = 0.02
+#: A length alone never makes a cut more probable than this: complete values may have any length.
+SURE = 0.9
 #: A length is a candidate limit if so many values of a field have it, and so many times more than its neighbours.
 LIMIT_COUNT, LIMIT_EXCESS = 8, 6.0
 #: Weight, in observations, of the pooled distribution in the smoothed counts of endings.
 SMOOTHING = 2.0
+#: Values taken as whole with larger odds of a cut under one model are left out of the next.
+DOUBTFUL = 1.5
+#: No single feature speaks for or against a cut with more than this many log odds.
+STRONGEST = 8.0
 FEATURES = ["shape", "piece", "joint", "declared", "open"]
 #: Features that mean the same in all kinds of values and are counted over all of them.
 COMMON = {"declared", "open"}
@@ -87,7 +93,7 @@ def ending_features(value: Column) -> dict[str, Column]:
     remarks = F.when(last.rlike(r"^(?:…|\.\.\.|\[).*\d"), 1).otherwise(0)
     below = F.size(F.split(body, "\n")) - 1 - remarks
     listed = F.when(below < declares, "short").when(below > declares, "over").otherwise("exact")
-    is_diff = value.rlike(r"^(?:diff --git |--- )")
+    is_diff = value.rlike(r"(?m)^(?:diff --git |--- |@@ -\d)")
     declared = F.when(is_diff, F.when(value.rlike(r"(?m)^@@"), hunk_state(value)).otherwise("no hunk")).when(declares.isNotNull(), listed).otherwise("none")
     quotes = F.length(last) - F.length(F.replace(last, F.lit('"'), F.lit("")))
     opened = F.length(F.regexp_replace(last, r"[^(\[{]", "")) - F.length(F.regexp_replace(last, r"[^)\]}]", ""))
@@ -154,7 +160,7 @@ def fit_censored(rows: pd.DataFrame) -> pd.DataFrame:
         # Where a limit holds, nothing is longer; what is longer speaks against the limit.
         holds = max(0.0, 1 - r.above / max(beyond * (n + c), 1e-9)) if c else 0.0
         censored = holds * max(beyond, density)
-        out.append(min(0.98, max(0.02, censored / (censored + density))) if c > 1 else 0.1)
+        out.append(min(SURE, max(TRANSFER_RATE, censored / (censored + density))) if c > 1 else 0.1)
     return rows.assign(posterior=out)
 
 
@@ -212,34 +218,50 @@ class EndingModel:
         found = []
         for feature, value in zip(FEATURES, values):
             key = ("" if feature in COMMON else kind, feature)
-            found.append(self.table.get(key, {}).get(value or "", self.unseen.get(key, 0.0)))
+            odds = self.table.get(key, {}).get(value or "", self.unseen.get(key, 0.0))
+            found.append(min(STRONGEST, max(-STRONGEST, float(odds))))
         return found
 
     def score(self, kind: str, values: list) -> float:
         return float(self.weights[0] + np.dot(self.weights[1:], self.odds(kind, values)))
 
 
-def logistic_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Intercept and weights of a logistic regression, by Newton steps."""
+def logistic_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Intercept and weights of a logistic regression with a penalty of ``ridge`` per row, by Newton steps that are
+    halved until the loss falls, so that nearly separable data can't make it diverge."""
     x = np.column_stack([np.ones(len(x)), x])
+    penalty = ridge * len(x)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + penalty / 2 * w @ w)
+
     w = np.concatenate([[0.0], np.full(x.shape[1] - 1, 0.5)])
-    for _ in range(30):
+    now = loss(w)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w = w + step
-        if np.abs(step).max() < 1e-6:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), x.T @ (y - p) - penalty * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-6:
             break
+        w = w + size * step
+        now = loss(w)
     return w
 
 
 def ending_examples(values: DataFrame, total: int) -> DataFrame:
-    """Features of a bounded sample of ``values``, whole and cut at a random place, with ``cut`` 1 or 0."""
+    """Features of a bounded sample of ``values``, whole and cut at a random place, with ``cut`` 1 or 0. Values that
+    stand at a candidate limit must be left out before, for most of them are cut already."""
     rate = max(1, min(1_000_000, round(1_000_000 * TRAINING_VALUES / max(total, 1))))
     chosen = values.where(F.pmod(F.xxhash64("table_name", "row_id", "field"), F.lit(1_000_000)) < rate)
     share = F.pmod(F.xxhash64("row_id", "field", F.lit("at")), F.lit(9_500)) / 10_000 + 0.05
     at = F.greatest(F.floor(share * F.length("value")), F.lit(1)).cast("int")
     whole = F.struct(F.lit(0).alias("cut"), F.col("value").alias("text"))
-    cut = F.struct(F.lit(1).alias("cut"), F.substring(F.col("value"), F.lit(1), at).alias("text"))
+    # A cut between the bytes of one character leaves a replacement character; one in twenty is made to.
+    split = F.when(F.pmod(F.xxhash64("row_id", F.lit("split")), F.lit(20)) == 0, "\ufffd").otherwise("")
+    cut = F.struct(F.lit(1).alias("cut"), F.concat(F.substring(F.col("value"), F.lit(1), at), split).alias("text"))
     rows = chosen.select("table_name", "row_id", "field", "kind", F.explode(F.array(whole, cut)).alias("e")).select("table_name", "row_id", "field", "kind", "e.cut", "e.text")
     half = F.pmod(F.xxhash64("row_id", "field", F.lit("half")), F.lit(2)) == 0
     return rows.select("kind", "cut", half.alias("half"), *(c.alias(k) for k, c in ending_features(F.col("text")).items()))
@@ -247,12 +269,13 @@ def ending_examples(values: DataFrame, total: int) -> DataFrame:
 
 def fit_endings(examples: DataFrame) -> EndingModel:
     """The model of a bounded sample from ``ending_examples``. Some of the values taken as whole are cut; those that
-    a first model finds are left out of the second."""
+    one model finds are left out of the next."""
     sample = examples.toPandas()
-    first = EndingModel(sample)
-    prior = math.log(TRANSFER_RATE / (1 - TRANSFER_RATE))
-    odds = np.array([first.score(k, v) for k, *v in zip(sample["kind"], *(sample[f] for f in FEATURES))])
-    return EndingModel(sample[(sample["cut"] == 1) | (odds + prior < 0)])
+    model = EndingModel(sample)
+    for _ in range(2):
+        odds = np.array([model.score(k, v) for k, *v in zip(sample["kind"], *(sample[f] for f in FEATURES))])
+        model = EndingModel(sample[(sample["cut"] == 1) | (odds < DOUBTFUL)])
+    return model
 
 
 def ending_odds(model: EndingModel) -> Column:
@@ -281,10 +304,11 @@ def cut_values(values: DataFrame) -> DataFrame:
             lambda e: F.when(F.when(e["unit"] == "bytes", F.col("bytes").between(e["bound"] - 3, e["bound"] + 2)).otherwise(F.col("chars") == e["bound"]), e["posterior"]),
         )
     )
-    featured = standing.select("table_name", "row_id", "field", "kind", "source", reached.alias("posterior"), *(c.alias(k) for k, c in ending_features(F.col("value")).items()))
+    standing = standing.withColumn("posterior", reached)
+    featured = standing.select("table_name", "row_id", "field", "kind", "source", "posterior", *(c.alias(k) for k, c in ending_features(F.col("value")).items()))
     prior = F.coalesce("posterior", F.lit(TRANSFER_RATE))
     base = F.log(prior / (1 - prior))
-    model = fit_endings(ending_examples(values, total))
+    model = fit_endings(ending_examples(standing.where("posterior is null"), total))
     return featured.select("table_name", "row_id", "field", "kind", "source", (base + ending_odds(model)).alias("odds")).distinct()
 
 
