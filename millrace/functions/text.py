@@ -45,7 +45,7 @@ def count_lines(text: Column, pattern: str) -> Column:
 
 def without_fences(text: Column) -> Column:
     """The text without the lines that open and close a code block."""
-    return F.trim(F.regexp_replace(text, r"(?m)^```[A-Za-z]*[ \t]*\n?", ""))
+    return F.regexp_replace(F.regexp_replace(text, r"(?m)^```[A-Za-z]*[ \t]*\n?", ""), r"^\s+|\s+$", "")
 
 
 def snake_case(name: Column) -> Column:
