@@ -300,11 +300,11 @@ def lex_javascript(source: str) -> list[Token]:
     default, mid of a class member, prop behind a dot. Brackets: ``(c`` of if, while, for, switch, with and catch,
     ``(f`` of parameters; ``{b`` block, ``{t`` of try, ``{f`` body of a declared function or method, ``{e`` of a
     function in an expression, ``{k`` class body, ``{o`` object, ``{i`` import list, ``{x`` export list. ``:t`` is
-    the colon of a conditional.
+    the colon of a conditional, ``:c`` that of a case.
     """
     out: list[Token] = [("BOF", 0)]
     opened: list[str] = []
-    ternary = [0]
+    ternary, cases = [0], [False]
     at, broken, function, klass, member = 0, 0, "", False, False
     if source.startswith("#!"):
         at = len(source.split("\n", 1)[0])
@@ -348,6 +348,8 @@ def lex_javascript(source: str) -> list[Token]:
                     kind = "id"
                 elif text == "class":
                     klass = True
+                elif text == "case" or (text == "default" and last != "export"):
+                    cases[-1] = True
                 elif text == "function":
                     function = "{f" if last in ("BOF", ";", "{b", "{f", "{e", "{t", "}b", "}f", "}k", "}t", "export", "default", "async") or broken else "{e"
             elif last == "import":
@@ -394,7 +396,7 @@ def lex_javascript(source: str) -> list[Token]:
                     kind = "{i"
                 elif last == "export":
                     kind = "{x"
-                elif last in (")c", "else", "do", "finally", "catch", "BOF", ";", "{b", "{f", "{e", "{t", "}b", "}f", "}k", "}t") or (last == ":" and around == "{b"):
+                elif last in (")c", "else", "do", "finally", "catch", "BOF", ";", "{b", "{f", "{e", "{t", "}b", "}f", "}k", "}t") or last == ":c":
                     kind = "{b"
                 elif last in JS_ENDS and around in ("", "{b", "{f", "{e", "{t") and broken:
                     kind = "{b"
@@ -407,12 +409,16 @@ def lex_javascript(source: str) -> list[Token]:
             elif text == ":" and ternary[-1]:
                 ternary[-1] -= 1
                 kind = ":t"
+            elif text == ":" and cases[-1]:
+                cases[-1], kind = False, ":c"
             if kind[0] in "([{":
                 opened.append(kind)
                 ternary.append(0)
+                cases.append(False)
             elif kind[0] in ")]}" and opened:
                 opened.pop()
                 ternary.pop()
+                cases.pop()
         out.append((kind, int(broken)))
         broken = 0
     return [*out, ("EOF", 1)]
@@ -509,9 +515,11 @@ def javascript_pairs() -> set[tuple[str, str, str]]:
     allow(blocks, {"return", "yield"}, starts, breaks=(0,))
     allow(blocks, {"break", "continue"}, {"id"}, breaks=(0,))
     allow(blocks, {"case"}, starts)
-    allow(["{b"], {"default", "id", *ends}, {":"})
-    allow(["", "{f", "{e", "{t"], {"id"}, {":"})
-    allow(blocks, {":"}, statements | {"case", "default", "}b"})
+    allow(["{b"], {"{b"}, {"case", "default"})
+    allow(["{b"], {"default", *ends}, {":c"})
+    allow(["{b"], {":c"}, statements | {"case", "default", "}b"})
+    allow(blocks, {"id"}, {":"})
+    allow(blocks, {":"}, statements)
     # modules
     allow([""], {"import"}, {"iid", "{i", "*", "str"})
     allow(every, {"import"}, {"(", "."})
