@@ -19,13 +19,10 @@ def record_components(links: DataFrame, record: str = "record", entity: str = "e
     aggregation before the shuffle, so an entity that holds a third of all records reaches its reducer as one
     row per map task; the join back is split by AQE's skew handling. Records with a single entity can't carry a
     label further, so only the records with several entities take part in the rounds after the first, and a
-    pointer jump (label := label of the label) halves long chains. Each round ends in a reliable checkpoint.
+    pointer jump (label := label of the label) halves long chains. Each round ends in a reliable checkpoint, and
+    so do the distinct links, which are read several times and may be costly to make.
     """
-    edges = (
-        links.where(F.col(record).isNotNull())
-        .select(F.col(record).alias("_r"), F.col(entity).alias("_e"))
-        .distinct()
-    )
+    edges = checkpointed(links.where(F.col(record).isNotNull()).select(F.col(record).alias("_r"), F.col(entity).alias("_e")).distinct())
     known = edges.where(F.col("_e").isNotNull())
     degree = edges.groupBy("_r").agg(F.count("_e").alias("_n"))
     # The first round: every entity gets its smallest record.
