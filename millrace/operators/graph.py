@@ -22,6 +22,32 @@ def edges(imports: DataFrame, calls: DataFrame) -> DataFrame:
     return counts.select("src", "dst", F.when(F.col("i") > 0, "import").otherwise("call").alias("kind"), F.round(weight, 6).alias("weight"))
 
 
+def resolved_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """(src, dst) of each of ``imports``(src, module) that names one of ``modules``(key, node): by its whole name, else
+    without leading dots, else by its longest dotted prefix. Others are dropped.
+
+    Candidates are resolved once per distinct name; both joins are by key.
+    """
+    name = F.col("module")
+    parts = F.split(name, r"\.")
+    prefixes = F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda i: F.array_join(F.slice(parts, 1, i + 1), "."))
+    names = imports.select("module").where("module <> ''").distinct()
+    keys = names.select("module", F.posexplode(F.concat(F.array(name, F.regexp_replace(name, r"^\.+", "")), prefixes)).alias("at", "key"))
+    found = keys.join(modules.groupBy("key").agg(F.max("node").alias("node")), "key").groupBy("module").agg(F.min_by("node", "at").alias("dst"))
+    return imports.join(found, "module").select("src", "dst")
+
+
+def resolved_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(src, dst) of each of ``calls``(src, callee) that names one of ``symbols``(name, node, place): as a whole, else by
+    one of its dotted parts, from the right. Of several symbols of a name that of the highest place counts. Others are
+    dropped."""
+    parts = F.concat(F.array("callee"), F.reverse(F.split("callee", r"\.")))
+    keys = calls.select("callee").where("callee is not null").distinct().select("callee", F.posexplode(parts).alias("at", "name"))
+    last = symbols.where("name is not null").groupBy("name").agg(F.max_by("node", "place").alias("node"))
+    found = keys.join(last, "name").groupBy("callee").agg(F.min_by("node", "at").alias("dst"))
+    return calls.join(found, "callee").select("src", "dst")
+
+
 def degrees(graph: DataFrame) -> DataFrame:
     """(node, n_in, n_out) of all nodes; one aggregation over both ends."""
     ends = graph.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(graph.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))

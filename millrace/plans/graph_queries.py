@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.operators import graph
 from millrace.operators.distinct import rows_once
+from millrace.session import checkpointed
 from millrace.sources.tables import table
 
 ITERATIONS = 10
@@ -80,6 +81,59 @@ def _pagerank_sql() -> str:
     return ", ".join(parts) + f" SELECT node, round(score, 6) AS score FROM r{ITERATIONS}"
 
 
+def _linked(spark, sf_dir):
+    """Modules as nodes, the root package as __init__: imports and calls that resolve to a module of the table, which
+    is taken as one code base. Of functions and classes of one name that of the highest file_id counts."""
+    files = rows_once(table(spark, sf_dir, "file_symbols", "file_id", "file_path", "imports", "functions", "classes", "calls"), "file_id").where("file_path is not null")
+    key = text.module_key(F.col("file_path"))
+    rows = files.withColumns({"key": key, "node": F.when(key == "", "__init__").otherwise(key)})
+    imports = rows.select(F.col("node").alias("src"), F.explode("imports.module").alias("module"))
+    calls = rows.select(F.col("node").alias("src"), F.explode("calls.callee").alias("callee"))
+    none = F.array().cast("array<string>")
+    names = F.concat(*(F.coalesce(c, none) for c in ("functions.name", "functions.qualified_name", "classes.name")))
+    symbols = rows.select(F.explode(names).alias("name"), "node", F.col("file_id").alias("place"))
+    return graph.edges(graph.resolved_imports(imports, rows.select("key", "node")), graph.resolved_calls(calls, symbols))
+
+
+LINKED = r"""f AS (SELECT *, CASE WHEN key = '' THEN '__init__' ELSE key END AS node FROM (SELECT DISTINCT ON (file_id) file_id, imports, functions, classes, calls,
+    regexp_replace(replace(regexp_replace(file_path, '\.[A-Za-z]+$', ''), '/', '.'), '(?:^|\.)__init__$', '') AS key FROM file_symbols WHERE file_path IS NOT NULL)),
+i AS (SELECT row_number() OVER () AS id, * FROM (SELECT node AS src, unnest(imports).module AS name FROM f) WHERE name <> ''),
+ik AS (SELECT i.id, k.node, CASE WHEN k.key = name THEN 1e9 WHEN k.key = ltrim(name, '.') THEN 1e8 ELSE length(k.key) END AS score FROM i JOIN (SELECT DISTINCT key, node FROM f) k
+  ON k.key = name OR k.key = ltrim(name, '.') OR starts_with(name, k.key || '.')),
+c AS (SELECT row_number() OVER () AS id, * FROM (SELECT node AS src, unnest(calls).callee AS name FROM f)),
+sy AS (SELECT name, arg_max(node, file_id) AS node FROM (SELECT node, file_id, unnest(functions).name AS name FROM f
+  UNION ALL SELECT node, file_id, unnest(functions).qualified_name FROM f UNION ALL SELECT node, file_id, unnest(classes).name FROM f) GROUP BY name),
+cp AS (SELECT id, 1000 AS score, name FROM c UNION ALL SELECT id, generate_subscripts(string_split(name, '.'), 1), unnest(string_split(name, '.')) FROM c),
+x AS (SELECT src, arg_max(ik.node, score) AS dst, 1 AS i, 0 AS c FROM i JOIN ik USING (id) GROUP BY id, src
+  UNION ALL SELECT src, arg_max(sy.node, score), 0, 1 FROM c JOIN cp USING (id) JOIN sy ON sy.name = cp.name GROUP BY id, src),
+n AS (SELECT src, dst, sum(i) AS i, sum(c) AS c FROM x WHERE src <> dst GROUP BY src, dst),
+e AS (SELECT src, dst, CASE WHEN i > 0 THEN 'import' ELSE 'call' END AS kind, round(CASE WHEN i > 0 THEN 1 + 0.5 * (i - 1) ELSE 0 END + 0.3 * c, 6)::DOUBLE AS weight FROM n)"""
+
+
+def linked_edges(spark, sf_dir):
+    return _linked(spark, sf_dir)
+
+
+def linked_degrees(spark, sf_dir):
+    found = graph.degrees(_linked(spark, sf_dir))
+    return found.select("node", F.col("n_in").cast("bigint").alias("n_in"), F.col("n_out").cast("bigint").alias("n_out"))
+
+
+def linked_reach(spark, sf_dir):
+    """What each module reaches within two edges."""
+    edges = _linked(spark, sf_dir)
+    found = graph.reach(edges, edges.select(F.col("src").alias("start")).distinct(), 2)
+    return found.select("start", "node", F.col("hops").cast("bigint").alias("hops"))
+
+
+def linked_pagerank(spark, sf_dir):
+    """``module_pagerank`` over the modules, with the same number of iterations."""
+    edges = checkpointed(_linked(spark, sf_dir))
+    seeds = graph.degrees(edges).orderBy(F.desc("n_out"), "node").limit(10)
+    seeds = seeds.select("node", (1 / F.row_number().over(Window.orderBy(F.desc("n_out"), "node"))).alias("share"))  # ten rows
+    return graph.pagerank(edges, seeds, ITERATIONS).select("node", F.round("score", 6).alias("score"))
+
+
 def part_suppliers(spark, sf_dir):
     """Parts that several suppliers of one nation deliver, per nation, and their lines."""
     lines = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey")
@@ -93,4 +147,6 @@ PART_SUPPLIERS = """WITH s AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM l
 SELECT s_nationkey, count(*) AS shared_parts, sum(lines)::BIGINT AS lines FROM p WHERE suppliers > 1 GROUP BY 1"""
 
 QUERIES = {"module_edges": module_edges, "module_degrees": module_degrees, "module_reach": module_reach, "module_pagerank": module_pagerank, "part_suppliers": part_suppliers}
+QUERIES |= {"linked_edges": linked_edges, "linked_degrees": linked_degrees, "linked_reach": linked_reach, "linked_pagerank": linked_pagerank}
 ORACLES = {"module_edges": f"WITH {EDGES} SELECT * FROM e", "module_degrees": DEGREES, "module_reach": REACH, "module_pagerank": _pagerank_sql(), "part_suppliers": PART_SUPPLIERS}
+ORACLES |= {"linked_edges": f"WITH {LINKED} SELECT * FROM e"} | {f"linked_{name}": ORACLES[f"module_{name}"].replace(EDGES, LINKED) for name in ("degrees", "reach", "pagerank")}
