@@ -2,7 +2,8 @@
 
 A text is cut into lines and sentences, and each of these into terms. Windows over the positions of a term give its
 recurrence gaps: terms that come again within a few places, or soon again between other neighbours, as they do in
-keyword stuffing but not in sentences, even repeated ones. With the share of function words, the links and the tags
+keyword stuffing but not in sentences, even repeated ones. Where no sentence ends between them, terms that come again
+between the same neighbours at one distance, whatever it is, count as well: a cycle of keywords. With the share of function words, the links and the tags
 of a piece this tells whether it is content; the page is decided by the characters of its pieces.
 """
 
@@ -42,7 +43,10 @@ HIRAGANA = "^[\u3041-\u309f]"
 URL = r"(?:https?://|www\.)[^\s\])>\"']+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:example|invalid|test|com|org|net|io|info|de|fr|es|ru|jp)\b(?:/[^\s\])>\"']*)?"
 TERM = r"[\u3041-\u309f]+|[\u30a0-\u30ff]+|\p{IsHan}{1,2}|[\p{L}\p{N}&&[^\u3041-\u30ff\p{IsHan}]]+"
 #: Code, logs, tables and names of programs.
-TECHNICAL = r"[(){}=\\_`]|::|\.py\b|[a-z][A-Z]|(?m)^\s*(?:\d{2}:\d{2}|@@|\||Traceback)|={4,}|-{6,}"
+TECHNICAL = r"[(){}=\\_`]|::|\.py\b|[a-z][A-Z]"
+TECHNICAL_LINE = r"(?m)^\s*(?:\d{2}:\d{2}|@@|\||Traceback)|={4,}|-{6,}"
+#: Share of a run's characters, in words with such signs and in such lines, from which it is technical.
+TECHNICAL_SHARE = 0.15
 TAG = r"(?:^|\s)#[\p{L}\p{N}_]+|\b[\p{L}\p{N}_]+:[\p{L}\p{N}_-]+-[\p{L}\p{N}_]+|(?:SKU|Ref|Art|ID)[.:#\s]*\d{3,}|[€$£¥]\s?\d"
 
 
@@ -57,16 +61,20 @@ def plain_letters() -> tuple[str, str]:
 
 
 def pieces(documents: DataFrame) -> DataFrame:
-    """(doc_id, uid, k, size, link, bare, terms): lines, and sentences within lines, in order. ``bare`` is the piece
-    without markup and links, ``size`` its characters but for white space, ``link`` whether it has a link."""
+    """(doc_id, uid, k, size, link, ends, technical, bare, terms): lines, and sentences within lines, in order. ``bare``
+    is the piece without markup and links, ``size`` its characters but for white space, ``link`` whether it has a link,
+    ``ends`` whether a sentence ends with it, ``technical`` the characters of its words of code, or of the whole line."""
     before, after = plain_letters()
     text = F.translate(F.regexp_replace("text", r"[\u0300-\u036f]", ""), before, after)
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("uid"), text.alias("text")).repartition("doc_id")
     cut = rows.select("doc_id", "uid", F.posexplode(F.split("text", r"(?<=\n)|(?<=[.!?。])(?=\s|[^\x00-\x7F])")).alias("k", "piece"))
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("piece", "<[^>]*>", " "), URL, " "), r"\]\(\s*\)", "] ")
+    size = F.length(F.regexp_replace("piece", r"(?U)\s", ""))
+    words = F.filter(F.split(bare, r"[\s\u3041-\u30ff\p{IsHan}]+"), lambda w: w.rlike(TECHNICAL))
     return cut.select(
-        "doc_id", "uid", "k",
-        F.length(F.regexp_replace("piece", r"(?U)\s", "")).alias("size"),
+        "doc_id", "uid", "k", size.alias("size"),
+        F.col("piece").rlike(r"[.!?。][\s\p{Pe}\p{Pf}\"']*$").alias("ends"),
+        F.when(bare.rlike(TECHNICAL_LINE), size).otherwise(F.length(F.array_join(words, ""))).alias("technical"),
         (F.col("piece").rlike(URL) | F.col("piece").contains("<a ")).alias("link"),
         bare.alias("bare"),
         F.transform(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0)), F.lower).alias("terms"),
@@ -74,22 +82,24 @@ def pieces(documents: DataFrame) -> DataFrame:
 
 
 def in_runs(rows: DataFrame) -> DataFrame:
-    """``pieces`` with ``start``, the place of the first term on the page, and ``run``: pieces with a link stand alone,
-    others join those that begin in the same RUN places."""
+    """``pieces`` with ``start``, the place of the first term on the page, ``part``, the number of sentences that ended
+    before, and ``run``: pieces with a link stand alone, others join those that begin in the same RUN places."""
     before = Window.partitionBy("doc_id", "uid").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.sum(F.size("terms")).over(before) - F.size("terms")
-    return rows.withColumn("start", start).withColumn("run", F.when(F.col("link"), -1 - F.col("k")).otherwise(F.floor(F.col("start") / RUN)))
+    part = F.sum(F.col("ends").cast("int")).over(before) - F.col("ends").cast("int")
+    return rows.withColumns({"start": start, "part": part}).withColumn("run", F.when(F.col("link"), -1 - F.col("k")).otherwise(F.floor(F.col("start") / RUN)))
 
 
 def recurring_terms(rows: DataFrame) -> DataFrame:
     """(doc_id, uid, run, n, function, recurring): terms of each run, function words, and content terms that recur.
 
-    Two windows, both within the partitioning by doc_id: neighbours by place, and the places before and behind at
-    which the same term stands, with their neighbours.
+    Three windows, all within the partitioning by doc_id: neighbours by place; the places before and behind at which
+    the same term stands, with their neighbours; and those at which it stands between the same neighbours with no end
+    of a sentence between. Of the latter, the commonest distance in a run counts.
     """
-    terms = rows.select("doc_id", "uid", "run", "start", F.posexplode("terms").alias("i", "term")).withColumn("place", F.col("start") + F.col("i"))
+    terms = rows.select("doc_id", "uid", "run", "part", "start", F.posexplode("terms").alias("i", "term")).withColumn("place", F.col("start") + F.col("i"))
     by_place = Window.partitionBy("doc_id", "uid").orderBy("place")
-    placed = terms.select("doc_id", "uid", "run", "term", "place", F.lag("term").over(by_place).alias("left"), F.lead("term").over(by_place).alias("right"))
+    placed = terms.select("doc_id", "uid", "run", "part", "term", "place", F.lag("term").over(by_place).alias("left"), F.lead("term").over(by_place).alias("right"))
     by_term = Window.partitionBy("doc_id", "uid", "term").orderBy("place")
     here = F.struct("place", "left", "right")
 
@@ -98,11 +108,17 @@ def recurring_terms(rows: DataFrame) -> DataFrame:
         others = ~F.col("left").eqNullSafe(other["left"]) & ~F.col("right").eqNullSafe(other["right"])
         return F.coalesce((gap <= NEAR) | ((gap <= LAGS) & others), F.lit(False))
 
-    seen = placed.select("doc_id", "uid", "run", "term", "place", "left", "right", F.lag(here).over(by_term).alias("back"), F.lead(here).over(by_term).alias("ahead"))
+    seen = placed.select("*", F.lag(here).over(by_term).alias("back"), F.lead(here).over(by_term).alias("ahead"))
     function = F.col("term").isin(FUNCTION) | F.col("term").rlike(HIRAGANA)
-    return seen.groupBy("doc_id", "uid", "run").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(function).alias("function"), F.count_if(~function & (regular(F.col("back")) | regular(F.col("ahead")))).alias("recurring")
+    by_context = Window.partitionBy("doc_id", "uid", "term", "left", "right", "part").orderBy("place")
+    gap = F.coalesce(F.col("place") - F.lag("place").over(by_context), F.lead("place").over(by_context) - F.col("place"))
+    marked = seen.select("doc_id", "uid", "run", function.alias("function"), (regular(F.col("back")) | regular(F.col("ahead"))).alias("near"), gap.alias("gap"))
+    key = ["doc_id", "uid", "run"]
+    by_gap = marked.groupBy(*key, "gap").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("function").alias("function"), F.count_if(~F.col("function") & F.col("near")).alias("near"), F.count_if(~F.col("function") & ~F.col("near")).alias("far")
     )
+    periodic = F.max(F.when(F.col("gap").isNotNull(), F.col("far")).otherwise(0))
+    return by_gap.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("function").alias("function"), (F.sum("near") + periodic).alias("recurring"))
 
 
 def spam_shares(documents: DataFrame) -> DataFrame:
@@ -110,7 +126,7 @@ def spam_shares(documents: DataFrame) -> DataFrame:
     or tags, from 0 to 1. Null, empty and blank texts have no row; where a doc_id has several texts the largest counts."""
     rows = in_runs(pieces(documents))
     runs = rows.groupBy("doc_id", "uid", "run").agg(
-        F.sum("size").alias("size"), F.bool_or("link").alias("link"), F.bool_or(F.col("bare").rlike(TECHNICAL)).alias("technical"), F.sum(F.regexp_count("bare", F.lit(TAG))).alias("tags")
+        F.sum("size").alias("size"), F.bool_or("link").alias("link"), (F.sum("technical") >= TECHNICAL_SHARE * F.sum("size")).alias("technical"), F.sum(F.regexp_count("bare", F.lit(TAG))).alias("tags")
     )
     known = runs.join(recurring_terms(rows), ["doc_id", "uid", "run"], "left").na.fill(0, ["n", "function", "recurring"])
     content = F.col("n") - F.col("function")
