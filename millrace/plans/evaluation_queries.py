@@ -111,6 +111,15 @@ PROGRESS = """WITH e AS (SELECT DISTINCT entry_id, attempt, resolved FROM trajec
 SELECT attempt, entry_id, n, good::BIGINT AS good, round(good / n, 6) AS rate FROM r WHERE n % 100 = 0"""
 
 
+def progress_all(spark, sf_dir):
+    """``progress`` at every entry."""
+    rows = table(spark, sf_dir, "trajectories", "entry_id", "attempt", "resolved").where("attempt is not null").distinct()
+    return evaluation.running_rate(rows, ["attempt"], "entry_id", F.coalesce("resolved", F.lit(False)))
+
+
+PROGRESS_ALL = PROGRESS.removesuffix(" WHERE n % 100 = 0")
+
+
 def tool_calls(spark, sf_dir):
     """Calls, failures, output characters and durations of each tool in any letter case."""
     rows = rows_once(table(spark, sf_dir, "tool_results", "result_id", "tool_name", "success", "output", "metadata"), "result_id", whole=False)
@@ -157,6 +166,7 @@ QUERIES = {
     "failure_categories": failure_categories,
     "localisation_categories": localisation_categories,
     "progress": progress,
+    "progress_all": progress_all,
     "tool_calls": tool_calls,
     "latency_histogram": latency_histogram,
     "attempt_pairs": attempt_pairs,
@@ -168,6 +178,7 @@ ORACLES = {
     "failure_categories": FAILURE_CATEGORIES,
     "localisation_categories": LOCALISATION,
     "progress": PROGRESS,
+    "progress_all": PROGRESS_ALL,
     "tool_calls": TOOL_CALLS,
     "latency_histogram": LATENCY,
     "attempt_pairs": ATTEMPT_PAIRS,
