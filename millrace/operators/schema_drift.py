@@ -100,16 +100,17 @@ def field_steps(layout: DataFrame) -> DataFrame:
 
 
 def value_tokens(value: Column, kind: Column) -> Column:
-    """What a sketch counts of a value: its words, and as often the pattern of signs between them; of digits and of
-    mixtures of digits and letters, as in ids and hashes, only the length; of a number the digits before and
-    behind the point; the value of a boolean."""
+    """What a sketch counts of a value: its words, and for each of them, to the end of the value, the signs on both sides of
+    it; of digits and of mixtures of digits and letters, as in ids and hashes, only the length; of a number the digits
+    before and behind the point; the value of a boolean."""
     words = F.transform(
         F.filter(F.split(F.lower(value), "[^a-z0-9]+"), lambda w: w != ""),
         lambda w: F.when(w.rlike("^[0-9]+$"), F.concat(F.lit("#"), F.length(w))).when(w.rlike("[0-9]"), F.concat(F.lit("x"), F.length(w))).otherwise(w),
     )
-    pattern = F.substring(F.regexp_replace(value, "[A-Za-z0-9]+", "w"), 1, 40)
+    signs = F.split(value, "[A-Za-z0-9]+")
+    patterns = F.zip_with(signs, F.slice(signs, 2, F.size(signs)), lambda a, b: F.concat(a, F.lit("w"), F.coalesce(b, F.lit(""))))
     number = F.array(F.concat_ws(".", F.length(F.regexp_extract(value, r"^-?(\d+)", 1)), F.length(F.regexp_extract(value, r"\.(\d+)", 1))))
-    return F.when(kind == "number", number).when(kind == "boolean", F.array(value)).otherwise(F.concat(words, F.array_repeat(pattern, F.size(words))))
+    return F.when(kind == "number", number).when(kind == "boolean", F.array(value)).otherwise(F.concat(words, F.slice(patterns, 1, F.size(words))))
 
 
 def sketches(fields: DataFrame, wanted: DataFrame) -> DataFrame:
