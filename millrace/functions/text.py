@@ -74,3 +74,20 @@ def code_names(text: Column) -> Column:
     rules = [r"`([A-Za-z_][\w.]*)`", *(rf"(?<![A-Za-z0-9_]){rule}(?![A-Za-z0-9_])" for rule in joined)]
     found = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rule), F.lit(1)) for rule in rules]
     return F.array_distinct(F.concat(*found))
+
+
+def hint_names(text: Column, stopwords: tuple[str, ...] = ()) -> Column:
+    """Names that may be those of files an issue speaks of, in lower case and distinct: quoted .py names, names in back
+    quotes, dotted paths of three or more parts (as a path, and their last part), snake case, words of seven or more
+    letters, and camel case as snake case. Names of up to three characters and ``stopwords`` are none."""
+    plain = F.coalesce(text, F.lit(""))
+    low = F.lower(plain)
+    every = lambda where, rule: F.regexp_extract_all(where, F.lit(rule), F.lit(1))
+    dotted = every(low, r"\b([a-z][a-z0-9]*(?:\.[a-z][a-z0-9]*){2,})\b")
+    found = F.concat(
+        every(plain, r"[`'\"](\S+?)\.py[`'\"\s]"), every(low, r"`([a-z][a-z0-9_]{3,})`"), every(low, r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"), every(low, r"\b([a-z]{7,})\b"),
+        F.transform(every(plain, r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), snake_case),
+        F.transform(dotted, lambda x: F.replace(x, F.lit("."), F.lit("/"))), F.transform(dotted, lambda x: F.substring_index(x, ".", -1)),
+    )
+    names = F.array_distinct(F.filter(F.transform(found, F.lower), lambda x: F.length(x) > 3))
+    return F.array_except(names, F.array(*(F.lit(w) for w in stopwords))) if stopwords else names

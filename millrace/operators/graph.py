@@ -66,6 +66,64 @@ def reach(graph: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def reverse_neighbours(graph: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, node): what links to each of ``targets``(target) directly."""
+    return targets.join(graph, F.col("target") == F.col("dst")).select("target", F.col("src").alias("node")).distinct()
+
+
+def is_acyclic(graph: DataFrame, max_rounds: int = 1000) -> bool:
+    """Whether no node reaches itself. Edges that begin where nothing arrives, or end where nothing leaves, lie on no
+    cycle; they are taken away until none is left, or nothing more goes. Lineage is cut in every round."""
+    left = checkpointed(graph.select("src", "dst").distinct())
+    n = left.count()
+    for _ in range(max_rounds):
+        if not n:
+            return True
+        rest = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        rest = checkpointed(rest.join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, n = n, rest.count()
+        if n == before:
+            return False
+        left = rest
+    raise RuntimeError(f"edges still go after {max_rounds} rounds")
+
+
+def statistics(nodes: DataFrame, graph: DataFrame) -> DataFrame:
+    """One row (num_nodes, num_edges, avg_out_degree, num_isolated, is_dag) of ``nodes``(node) and their edges."""
+    nodes, graph = nodes.select("node").distinct(), checkpointed(graph)
+    isolated = nodes.join(degrees(graph).select("node"), "node", "left_anti").agg(F.count(F.lit(1)).alias("num_isolated"))
+    counts = nodes.agg(F.count(F.lit(1)).alias("num_nodes")).crossJoin(graph.agg(F.count(F.lit(1)).alias("num_edges"))).crossJoin(isolated)
+    return counts.select("num_nodes", "num_edges", F.round(F.col("num_edges") / F.greatest("num_nodes", F.lit(1)), 6).alias("avg_out_degree"), "num_isolated", F.lit(is_acyclic(graph)).alias("is_dag"))
+
+
+def personal_ranks(graph: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 200) -> DataFrame:
+    """(query, node, score): personalised PageRank of every query from its own ``seeds``(query, node, share).
+
+    With what stands at nodes without out-edges returned to the seeds, the fixed point is the sum of all that flows
+    from the seeds, damped at every step and divided by its total; so only nodes that a query reaches take part, and
+    no row is made for the others. Seeds outside the graph keep their share. The flow is followed until less than
+    ``tolerance`` of every query's share still moves. Each round is one keyed join and one aggregation, with a
+    reliable checkpoint. Shares below zero or null count nothing; a query without any has no rows.
+    """
+    known = seeds.where("query is not null and node is not null and share > 0").groupBy("query", "node").agg(F.sum("share").alias("share"))
+    totals = known.groupBy("query").agg(F.sum("share").alias("total"))
+    moving = checkpointed(known.join(totals, "query").select("query", "node", (F.col("share") / F.col("total")).alias("score")))
+    out = graph.groupBy("src").agg(F.sum("weight").alias("out"))
+    flow = checkpointed(graph.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out") * damping).alias("p")))
+    rounds = [moving]
+    for _ in range(max_rounds):
+        moving = checkpointed(moving.join(flow, F.col("node") == F.col("src")).groupBy("query", "dst").agg(F.sum(F.col("score") * F.col("p")).alias("score")).withColumnRenamed("dst", "node"))
+        rounds.append(moving)
+        left = moving.groupBy("query").agg(F.sum("score").alias("left")).agg(F.max("left")).first()[0]
+        if left is None or left < tolerance:
+            break
+    arrived = rounds[0]
+    for part in rounds[1:]:
+        arrived = arrived.unionByName(part)
+    sums = checkpointed(arrived.groupBy("query", "node").agg(F.sum("score").alias("score")))
+    return sums.join(sums.groupBy("query").agg(F.sum("score").alias("total")), "query").select("query", "node", (F.col("score") / F.col("total")).alias("score"))
+
+
 def pagerank(graph: DataFrame, seeds: DataFrame, iterations: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
     """(node, score): personalised PageRank after a number of iterations.
 
