@@ -23,7 +23,7 @@ from millrace.session import checkpointed
 #: Words of a suffix that its place in the order depends on. Longer spans show as spans that follow each other.
 DEPTH = 12
 #: The least common beginning, in words, of two neighbours.
-SHARED = 4
+SHARED = 6
 #: Suffixes of a range partition, about.
 SUFFIXES = 200_000
 #: Least part of the longer text that must be covered by shared spans for the exact check.
@@ -35,7 +35,7 @@ COUNTS, BINS = 1 << 18, 128
 #: Rows of a block in the exact filter; a key with more rows on one side is split into a grid of blocks.
 ROWS = 4_000
 #: A histogram is compared by at most so many levels of its counts; what is above them is added to the bound.
-LEVELS = 32
+LEVELS = 6
 
 
 def split_side(split: Column) -> Column:
@@ -111,12 +111,14 @@ def nearest(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def adjacent_links(name: np.ndarray, at: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
     """The links of ``neighbours`` among suffixes in order."""
-    train, held = at & 1 != 0, at & 2 != 0
+    train, held, m = at & 1 != 0, at & 2 != 0, max(len(at), 1)
     rows, found = np.arange(len(at)), []
     for e, t in [(rows, x) for x in nearest(train)] + [(x, rows) for x in nearest(held)]:
         good = held[e] & train[t] & (e >= 0) & (t >= 0)
-        found.append(np.stack([e[good], t[good]], axis=1))
-    e, t = np.unique(np.concatenate(found), axis=0).T if found else (rows[:0], rows[:0])
+        e, t = e[good], t[good]
+        good = (keys[e, :SHARED] == keys[t, :SHARED]).all(axis=1)
+        found.append(e[good] * m + t[good])
+    e, t = np.divmod(np.unique(np.concatenate(found)), m)
     same = (keys[e] == keys[t]) & (keys[e] != 0)
     long = np.where(same.all(axis=1), DEPTH, same.argmin(axis=1))
     good = (long >= SHARED) & (name[e] != name[t])
@@ -298,8 +300,11 @@ def close_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         e, t = here[role[here] == 2], here[role[here] == 1]
         if not len(e) or not len(t):
             continue
-        for part in np.array_split(e, -(-len(e) // 256)):
-            for other in np.array_split(t, -(-len(t) // 1024)):
+        e, t = e[np.argsort(n[e])], t[np.argsort(n[t])]
+        for part in np.array_split(e, -(-len(e) // 64)):
+            # Only texts of a like length can pass.
+            like = t[np.searchsorted(n[t], SAME * n[part[0]] - 1e-6) : np.searchsorted(n[t], n[part[-1]] / SAME + 1e-6, "right")]
+            for other in np.array_split(like, -(-len(like) // 1024)) if len(like) else ():
                 bound = thermometer(bins[part], levels) @ thermometer(bins[other], levels).T + np.minimum(over[part][:, None], over[other][None, :])
                 longer, shorter = np.maximum(n[part][:, None], n[other][None, :]), np.minimum(n[part][:, None], n[other][None, :])
                 i, j = np.nonzero((np.minimum(bound, shorter) >= SAME * longer - 1e-6) & (name[part][:, None] != name[other][None, :]))
