@@ -1,14 +1,13 @@
-"""Unified diffs as rows of lines, repaired hunk headers, and fuzzy replacement."""
+"""Unified diffs as rows of lines, repaired hunk headers, and blocks of text found again and replaced."""
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)$"
+#: A block counts as found again if its lines are on average more alike than this.
+ALIKE = 0.85
 
 
 def hunk_lines(patches: DataFrame, key: str, patch: str) -> DataFrame:
@@ -42,34 +41,52 @@ def repaired(patches: DataFrame, key: str, patch: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias(patch))
 
 
-def replace_block(content: str, search: str, new: str, least: float = 0.85) -> str:
-    """``content`` with the block ``search`` replaced: where it stands exactly, else at the most similar run of as many
-    lines, if that is similar enough, with its indent; '' if there is none. A blank search changes nothing."""
-    if not search.strip():
-        return content
-    if search in content:
-        return content.replace(search, new, 1)
-    lines, wanted = content.split("\n"), [x.strip() for x in search.strip("\n").split("\n")]
-    best, at = 0.0, -1
-    for i in range(len(lines) - len(wanted) + 1):
-        ratio = difflib.SequenceMatcher(None, "\n".join(x.strip() for x in lines[i : i + len(wanted)]), "\n".join(wanted)).ratio()
-        if ratio > best:
-            best, at = ratio, i
-    if best <= least:
-        return ""
-    first = lines[at]
-    pad = first[: len(first) - len(first.lstrip())]
-    added = new.strip("\n").split("\n")
-    own = added[0][: len(added[0]) - len(added[0].lstrip())]
-    added = [pad + x.removeprefix(own) if x.strip() else x for x in added]
-    return "\n".join([*lines[:at], *added, *lines[at + len(wanted) :]])
-
-
-def fuzzy_replace(content: str, search: str, new: str) -> Column:
-    """``replace_block`` over columns."""
-
-    @F.pandas_udf("string")
-    def replace(contents: pd.Series, searches: pd.Series, news: pd.Series) -> pd.Series:
-        return pd.Series([replace_block(c or "", s or "", n or "") for c, s, n in zip(contents, searches, news)], dtype=object)
-
-    return replace(content, search, new)
+def line_likeness(a: Column, b: Column) -> Column:
+    """From 0 to 1: how much of the longer of two lines stays without edits."""
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+def found_blocks(edits: DataFrame, key: str) -> DataFrame:
+    """(key, start, likeness): where the lines of ``search`` stand best in ``content``, and how alike they are there.
+
+    Lines are compared without white space around them, each with the one at the same place of the block. Lines of
+    both that are equal propose where the block may begin; texts that share none try every place. The likeness of a place
+    is the mean over the block's lines, and a line beyond the end counts nothing. The earliest of equal places is taken.
+    """
+    trimmed = lambda c: F.transform(F.split(c, "\n"), F.trim)
+    block = F.regexp_replace("search", r"^\n+|\n+$", "")
+    rows = edits.where(F.trim("search") != "").select(key, trimmed(F.col("content")).alias("have"), trimmed(block).alias("want"))
+    have = rows.select(key, F.posexplode("have").alias("place", "line"))
+    want = rows.select(key, F.posexplode("want").alias("offset", "line"))
+    shared = have.where("line <> ''").join(want, [key, "line"]).select(key, (F.col("place") - F.col("offset")).alias("start")).where("start >= 0").distinct()
+    lone = rows.join(shared.select(key).distinct(), key, "left_anti").select(key, F.explode(F.sequence(F.lit(0), F.greatest(F.size("have") - F.size("want"), F.lit(0)))).alias("start"))
+    tried = rows.join(shared.unionByName(lone), key).where(F.col("start") + F.size("want") <= F.size("have"))
+    alike = F.zip_with(F.slice("have", F.col("start") + 1, F.size("want")), F.col("want"), line_likeness)
+    mean = F.aggregate(alike, F.lit(0.0), lambda s, x: s + x) / F.size("want")
+    scored = tried.select(key, "start", F.round(mean, 6).alias("likeness"))
+    return scored.groupBy(key).agg(F.max(F.struct("likeness", (-F.col("start")).alias("_s"))).alias("best")).select(key, (-F.col("best._s")).alias("start"), "best.likeness")
+
+
+def replaced_blocks(edits: DataFrame, key: str, least: float = ALIKE) -> DataFrame:
+    """(key, content, how) of ``edits``(key, content, search, replacement), one row per key.
+
+    A blank search leaves the content as it is (how = 'blank'). Where the search stands in the content, its first
+    occurrence is replaced ('exact'); else the lines that ``found_blocks`` finds, if they are more alike than
+    ``least``, by the replacement at the indent of the first of them ('alike'); else the content is '' ('missing').
+    """
+    rows = edits.select(key, *(F.coalesce(c, F.lit("")).alias(c) for c in ("content", "search", "replacement")))
+    at = F.instr("content", F.col("search"))
+    how = F.when(F.trim("search") == "", "blank").when(at > 0, "exact")
+    rows = rows.withColumns({"how": how, "at": at})
+    best = found_blocks(rows.where("how is null"), key).where(F.col("likeness") > least)
+    rows = rows.join(best, key, "left")
+    lines = F.split("content", "\n")
+    size = F.size(F.split(F.regexp_replace("search", r"^\n+|\n+$", ""), "\n"))
+    indent = F.regexp_extract(F.get(lines, F.col("start")), r"^([ \t]*)", 1)
+    fresh = F.split(F.regexp_replace("replacement", r"^\n+|\n+$", ""), "\n")
+    own = F.length(F.regexp_extract(fresh[0], r"^([ \t]*)", 1))
+    moved = F.transform(fresh, lambda x: F.when(F.trim(x) == "", x).otherwise(F.concat(indent, F.substring(x, F.least(own, F.length(F.regexp_extract(x, r"^([ \t]*)", 1))) + 1, F.length(x)))))
+    alike = F.array_join(F.concat(F.slice(lines, 1, F.col("start")), moved, F.slice(lines, F.col("start") + size + 1, F.size(lines))), "\n")
+    exact = F.concat(F.substring("content", F.lit(1), F.col("at") - 1), F.col("replacement"), F.substring("content", F.col("at") + F.length("search"), F.length("content")))
+    text = F.when(F.col("how") == "blank", F.col("content")).when(F.col("how") == "exact", exact).when(F.col("start").isNotNull(), alike).otherwise("")
+    return rows.select(key, text.alias("content"), F.coalesce("how", F.when(F.col("start").isNotNull(), "alike").otherwise("missing")).alias("how"))

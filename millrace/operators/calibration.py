@@ -108,3 +108,45 @@ def fit_temperature(rows: DataFrame, margin: Column, label: Column, steps: int =
     finally:
         counts.unpersist()
     return t
+
+
+def coverage(rows: DataFrame, covered: Column, size: Column, alpha: float) -> DataFrame:
+    """One row (n_test, empirical_coverage, avg_set_size, coverage_guarantee, coverage_satisfied) over one row per query;
+    zeros without any."""
+    share = F.round(F.coalesce(F.avg(covered.cast("int")), F.lit(0.0)), 6)
+    return rows.agg(F.count(F.lit(1)).alias("n_test"), share.alias("empirical_coverage"), F.round(F.coalesce(F.avg(size), F.lit(0.0)), 6).alias("avg_set_size")).select(
+        "*", F.lit(round(1 - alpha, 6)).alias("coverage_guarantee"), (F.col("empirical_coverage") >= round(1 - alpha, 6)).alias("coverage_satisfied")
+    )
+
+
+def uncertainty_label(size: Column, candidates: Column) -> Column:
+    """How sure a set of this size among so many candidates is; an empty one and one of more than half are not at all."""
+    return (
+        F.when(size == 0, "very_uncertain").when(size == 1, "confident").when(size <= 3, "moderate")
+        .when(size <= F.floor(candidates / 2), "uncertain").otherwise("very_uncertain")
+    )
+
+
+def gated_sets(sets: DataFrame, least: float, cap: int, cost: int, naive: int) -> DataFrame:
+    """(query, files, set_size, label, tokens, savings) from ``sets``(query, rank, p_value, in_set).
+
+    A member passes with the confidence 1 - p_value of at least ``least``; a query none of whose members passes keeps
+    its best document. At most ``cap`` files stay, the best; each costs ``cost`` tokens, against ``naive`` files without
+    a gate. ``set_size`` and ``label`` are those before the gate.
+    """
+    per = Window.partitionBy("query")
+    rows = sets.withColumn("_ok", F.col("in_set") & (1 - F.col("p_value") >= least))
+    rows = rows.withColumn("_kept", F.col("_ok") | ((F.col("rank") == F.min("rank").over(per)) & (F.count_if(F.col("_ok")).over(per) == 0)))
+    found = rows.groupBy("query").agg(F.count_if("_kept").alias("n"), F.count_if("in_set").alias("set_size"), F.count(F.lit(1)).alias("candidates"))
+    files = F.least(F.col("n"), F.lit(cap))
+    return found.select(
+        "query", files.alias("files"), "set_size", uncertainty_label(F.col("set_size"), F.col("candidates")).alias("label"), (files * cost).alias("tokens"),
+        F.round(1 - files * cost / max(naive * cost, 1), 6).alias("savings"),
+    )
+
+
+def with_defaults(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` by gated_sets with a row for each of ``queries``(query) that has none: nothing kept, very uncertain."""
+    rows = queries.join(found, "query", "left")
+    zero = {"files": 0, "set_size": 0, "tokens": 0, "savings": 0.0, "label": "very_uncertain"}
+    return rows.na.fill(zero)

@@ -80,3 +80,53 @@ def conversation_json(messages: Column) -> Column:
 def messages_json(messages: Column) -> Column:
     """The record as JSON with messages of role and content."""
     return F.to_json(F.struct(F.transform(messages, lambda m: F.struct(role_name(m["role"]).alias("role"), F.coalesce(m["content"], F.lit("")).alias("content"))).alias("messages")))
+
+
+def repair_prompt(problem: Column, files: Column, patch: Column | None = None, category: Column | None = None, context: Column | None = None) -> Column:
+    """What a model is asked: the issue's first 1000 characters, up to eight files, and with ``patch`` what failed before, if its
+    category is known: 500 characters of the log's ``context`` and 800 of the patch."""
+    parts = [F.concat(F.lit("## GitHub Issue\n"), text.word_prefix(problem, 1000))]
+    listed = F.array_join(F.transform(F.slice(files, 1, 8), lambda f: F.concat(F.lit("- "), f)), "\n")
+    parts.append(F.when(F.size(files) > 0, F.concat(F.lit("## Relevant Files\n"), listed)))
+    if patch is not None:
+        failed = F.concat(
+            F.lit("## Previous Attempt Failed\nFailure category: **"), category, F.lit("**\n\n```\n"), text.word_prefix(context, 500), F.lit("\n```\n\nPrevious patch:\n```diff\n"), text.word_prefix(patch, 800), F.lit("\n```")
+        )
+        parts.append(F.when((F.coalesce(patch, F.lit("")) != "") & (F.coalesce(category, F.lit("")) != ""), failed))
+    return F.concat_ws("\n\n", *parts, F.lit("Generate a unified diff patch that fixes the issue."))
+
+
+def training_pairs(entries: DataFrame) -> DataFrame:
+    """(kind, entry_id, answer_id, prompt): what an entry is asked, and the entry whose patch is the answer.
+
+    ``entries`` has entry_id, instance_id (null for none), attempt, resolved, failure_category, patch, problem_statement,
+    test_stdout, localised_files and ``reason``, why it is no example. Of entries without a reason a resolved one is
+    ``positive``, an unresolved one with a log ``negative``; an unresolved one that isn't its instance's last is also a
+    ``reflection``, answered by the instance's last resolved patch. The last ones are aggregates with partial
+    combination, so an instance with very many attempts is not sorted anywhere.
+    """
+    place = F.struct("attempt", "entry_id")
+    prompt = repair_prompt(F.col("problem_statement"), F.col("localised_files"))
+    failed = repair_prompt(F.col("problem_statement"), F.col("localised_files"), F.col("patch"), F.col("failure_category"), text.error_context(F.col("test_stdout")))
+    good = entries.where("reason is null")
+    positive = good.where("resolved").select(F.lit("positive").alias("kind"), "entry_id", F.col("entry_id").alias("answer_id"), prompt.alias("prompt"))
+    negative = good.where("not resolved and test_stdout <> ''").select(F.lit("negative").alias("kind"), "entry_id", F.col("entry_id").alias("answer_id"), failed.alias("prompt"))
+    ends = entries.where("instance_id is not null").groupBy("instance_id").agg(
+        F.max(place).alias("_last"), F.max(F.when(F.col("resolved"), F.struct("attempt", "entry_id", (F.coalesce("patch", F.lit("")) != "").alias("filled")))).alias("_final")
+    ).where("_final.filled")
+    tries = good.where("not resolved").join(ends, "instance_id").where(place < F.col("_last"))
+    return positive.unionByName(negative).unionByName(tries.select(F.lit("reflection").alias("kind"), "entry_id", F.col("_final.entry_id").alias("answer_id"), failed.alias("prompt")))
+
+
+def last_localised(entries: DataFrame) -> DataFrame:
+    """(instance_id, localised_files): the last non-empty list in order of attempt and entry_id."""
+    return entries.where("size(localised_files) > 0").groupBy("instance_id").agg(F.max_by("localised_files", F.struct("attempt", "entry_id")).alias("localised_files"))
+
+
+def hard_negatives(gold: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query, gold, doc, label): each of ``gold``(query, doc) as a positive of itself, label 1, and with it the query's
+    ``hits``(query, doc) that are no gold of the query, label 0."""
+    gold = gold.distinct()
+    wrong = hits.join(gold, ["query", "doc"], "left_anti")
+    positive = gold.select("query", F.col("doc").alias("gold"), "doc", F.lit(1).alias("label"))
+    return positive.unionByName(gold.withColumnRenamed("doc", "gold").join(wrong, "query").select("query", "gold", "doc", F.lit(0).alias("label")))

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 #: Upper bounds of the buckets of a latency histogram in seconds.
 SECONDS = [1.0, 5.0, 15.0, 30.0, 60.0, 120.0, 300.0]
-#: What a log says about a failure, the first rule that matches; letter case doesn't count.
+# What a log says about a failure, the first rule that matches; letter case doesn't count.
 LOG_RULES = [
-    ("syntax_error", r"SyntaxError|IndentationError|invalid syntax"),
+    ("syntax_error", r"SyntaxError|IndentationError|TabError"),
     ("import_error", r"ImportError|ModuleNotFoundError|cannot import name"),
-    ("timeout", r"timed out|TimeoutError|timeout"),
-    ("assertion_error", r"AssertionError|assert .+ =="),
-    ("flaky_test", r"flaky|intermittent"),
+    ("hallucinated_api", r"AttributeError: .+ object has no attribute|TypeError: .+ takes \d+ positional argument|NameError: name .+ is not defined"),
+    ("type_error", r"TypeError:"),
+    ("assertion_error", r"AssertionError"),
 ]
-#: Hash buckets over which a running total of one group is carried.
-RANGES = 256
+FLAKY = r"ResourceWarning|random|race condition|flaky|connection refused|socket\.timeout"
+#: Rows of a range over which a running total is carried, about.
+ROWS = 100_000
 
 
 def map_total(values: Column) -> Column:
@@ -30,14 +31,24 @@ def passed(results: Column) -> tuple[Column, Column]:
     return F.size(verdicts), F.size(F.filter(verdicts, lambda v: F.coalesce(v, F.lit(False))))
 
 
-def failure_category(log: Column, applied: Column, fail_to_pass: Column, pass_to_pass: Column) -> Column:
-    """Why an attempt failed, by the first rule that holds: the patch didn't apply, all tests passed, what the log
-    says, some of the wanted tests passed, other tests broke; else unknown."""
+def failure_category(log: Column, applied: Column, fail_to_pass: Column, pass_to_pass: Column, unsteady: Column | None = None) -> Column:
+    """Why an attempt failed, by the first rule that holds: the patch didn't apply, all wanted tests passed and no other
+    broke, what the log says, a flaky test (only if ``unsteady``, that is if earlier attempts failed in several ways), some
+    of the wanted tests passed, all of them passed but others broke; else unknown."""
     (f, fp), (p, pp) = passed(fail_to_pass), passed(pass_to_pass)
     rule = F.when(~applied, "syntax_error").when((f > 0) & (fp == f) & (pp == p), "success")
     for name, pattern in LOG_RULES:
         rule = rule.when(F.coalesce(log, F.lit("")).rlike(f"(?i){pattern}"), name)
-    return rule.when((fp > 0) & (fp < f), "incomplete_patch").when((f > 0) & (fp == f) & (pp < p), "wrong_file_edit").otherwise("unknown")
+    if unsteady is not None:
+        rule = rule.when(unsteady & F.coalesce(log, F.lit("")).rlike(f"(?i){FLAKY}"), "flaky_test")
+    return rule.when((fp > 0) & (fp < f), "incomplete_patch").when((fp == f) & (pp < p), "wrong_file_edit").otherwise("unknown")
+
+
+def unsteady(key: str, order: list[str], category: str) -> Column:
+    """Whether the attempts of the same ``key`` before this one have two or more different categories: their least and
+    greatest differ, so no list of them is held. Attempts without a key have none before them."""
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.col(key).isNotNull() & F.coalesce(F.min(category).over(before) != F.max(category).over(before), F.lit(False))
 
 
 def histogram(rows: DataFrame, by: list[str], value: Column, bounds: list[float]) -> DataFrame:
@@ -52,12 +63,17 @@ def running_rate(rows: DataFrame, by: list[str], order: str, good: Column, every
     """(``by``, ``order``, n, good, rate): running count, running number of good ones and their share, in the order of a
     whole-number column; only every so-manieth row is given.
 
-    No group is sorted in one task: rows are cut into ranges of the order column, running totals are carried from
-    range to range, and only ranges are sorted.
+    No group is sorted in one task: rows are cut into ranges of the order column that hold about as many rows each,
+    at quantiles of it, running totals are carried from range to range, and only ranges are sorted.
     """
-    edges = rows.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / RANGES), F.lit(1))
-    cut = rows.crossJoin(F.broadcast(edges)).select(*by, order, good.cast("bigint").alias("_good"), F.floor((F.col(order) - F.col("_lo")) / width).alias("_range"))
+    n = rows.count()
+    cuts = max(1, -(-n // ROWS))
+    shares = [i / cuts for i in range(1, cuts)]
+    edges = rows.agg(F.percentile_approx(order, shares, 10 * cuts)).first()[0] if shares else []
+    edges = sorted(set(edges or []))
+    cut = rows.select(*by, order, good.cast("bigint").alias("_good"))
+    bounds = F.array(*(F.lit(e) for e in edges)) if edges else F.array().cast("array<bigint>")
+    cut = cut.withColumn("_range", F.size(F.filter(bounds, lambda e: e < F.col(order))))
     sums = cut.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum("_good").alias("_s"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))

@@ -23,7 +23,7 @@ def hunk_headers(spark, sf_dir):
     return patches.hunk_counts(rows, "entry_id", "patch").where("declared_old <> old or declared_new <> new")
 
 
-HUNKS = r"""WITH e AS (SELECT DISTINCT ON (entry_id) entry_id, string_split(regexp_replace(patch, '\n$', ''), chr(10)) AS l FROM trajectories WHERE patch <> ''),
+HUNKS = r"""WITH e AS (SELECT DISTINCT entry_id, string_split(regexp_replace(patch, '\n$', ''), chr(10)) AS l FROM trajectories WHERE patch <> ''),
 x AS (SELECT entry_id, unnest(l) AS line, generate_subscripts(l, 1) AS place FROM e),
 h AS (SELECT *, regexp_matches(line, '^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@.*$') AS head FROM x),
 n AS (SELECT *, sum(head::INT) OVER (PARTITION BY entry_id ORDER BY place) AS hunk,

@@ -9,8 +9,8 @@ from millrace.operators import dataset
 from millrace.operators.distinct import rows_once
 from millrace.sources.tables import table
 
-ENTRIES = "SELECT DISTINCT ON (entry_id) * FROM trajectories"
-RECORDS = "SELECT DISTINCT ON (example_id) * FROM fine_tuning"
+ENTRIES = "SELECT DISTINCT * FROM trajectories"
+RECORDS = "SELECT DISTINCT * FROM fine_tuning"
 WORDS = r"len(list_filter(string_split_regex(coalesce(problem_statement, ''), '\s+'), lambda w: w <> ''))"
 REJECTION = f"""CASE WHEN lower(trim(coalesce(failure_category, ''))) IN ('', 'unknown') THEN 'unknown_category' WHEN trim(coalesce(patch, ''), ' ') = '' THEN 'empty_patch'
   WHEN NOT regexp_matches(trim(patch, ' '), '^(?:---|diff )') THEN 'invalid_patch_format' WHEN length(trim(patch, ' ')) > 8000 THEN 'patch_too_long' WHEN {WORDS} < 20 THEN 'problem_too_short' END"""
@@ -121,7 +121,7 @@ LOG_RESULTS = "SELECT entry_id, " + ", ".join(
 
 def test_outcomes(spark, sf_dir):
     """Tests of the result maps, per attempt number: wanted, passed, and how many names appear in the log."""
-    rows = rows_once(table(spark, sf_dir, "trajectories", "entry_id", "attempt", "fail_to_pass_results", "test_stdout"), "entry_id", whole=False)
+    rows = rows_once(table(spark, sf_dir, "trajectories", "entry_id", "attempt", "fail_to_pass_results", "test_stdout"), "entry_id")
     tests = rows.select("attempt", F.explode("fail_to_pass_results").alias("test", "good"), "test_stdout")
     return tests.groupBy("attempt").agg(F.count(F.lit(1)).alias("tests"), F.count_if(F.col("good")).alias("good"), F.count_if(F.contains("test_stdout", "test")).alias("in_log"))
 

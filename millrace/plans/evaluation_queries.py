@@ -12,11 +12,11 @@ from millrace.sources.tables import table
 
 
 def _entries(spark, sf_dir, *columns):
-    """Attempts with repeated rows once; maps can't be compared, so rows are told apart by entry_id."""
-    return rows_once(table(spark, sf_dir, "trajectories", "entry_id", *columns), "entry_id", whole=False)
+    """Attempts with repeated rows once."""
+    return rows_once(table(spark, sf_dir, "trajectories", "entry_id", *columns), "entry_id")
 
 
-ENTRIES = "SELECT DISTINCT ON (entry_id) * FROM trajectories"
+ENTRIES = "SELECT DISTINCT * FROM trajectories"
 
 
 def attempt_summary(spark, sf_dir):
@@ -44,12 +44,13 @@ def instance_results(spark, sf_dir):
     return rows.groupBy("instance_id").agg(
         F.count(F.lit(1)).alias("attempts"),
         F.min(F.when(F.col("resolved"), F.col("attempt"))).alias("first_resolved"),
+        F.coalesce(F.min(F.when(F.col("resolved"), F.col("attempt"))), F.count(F.lit(1))).cast("bigint").alias("attempts_to_fix"),
         F.max_by("failure_category", order).alias("last_category"),
     )
 
 
 INSTANCE_RESULTS = f"""WITH e AS ({ENTRIES}) SELECT instance_id, count(*) AS attempts, min(attempt) FILTER (resolved) AS first_resolved,
-  arg_max_null(failure_category, (attempt, entry_id)) AS last_category FROM e WHERE trim(instance_id) <> '' GROUP BY instance_id"""
+  coalesce(min(attempt) FILTER (resolved), count(*))::BIGINT AS attempts_to_fix, arg_max_null(failure_category, (attempt, entry_id)) AS last_category FROM e WHERE trim(instance_id) <> '' GROUP BY instance_id"""
 
 
 def failure_breakdown(spark, sf_dir):
@@ -66,21 +67,26 @@ FAILURE_BREAKDOWN = f"""WITH i AS ({INSTANCE_RESULTS}), c AS (SELECT coalesce(lo
 
 
 def failure_categories(spark, sf_dir):
-    """The category that log and test results of each attempt speak for, and how often the logged one agrees."""
-    rows = _entries(spark, sf_dir, "test_stdout", "patch", "fail_to_pass_results", "pass_to_pass_results", "failure_category")
-    found = evaluation.failure_category(F.col("test_stdout"), F.trim(F.coalesce("patch", F.lit(""))) != "", F.col("fail_to_pass_results"), F.col("pass_to_pass_results"))
-    return rows.groupBy(found.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.count_if(found == F.lower("failure_category")).alias("agreeing"))
-
-
-def _holds(column: str, test: str) -> str:
-    return {"total": f"cardinality(coalesce({column}, MAP {{}}))", "passed": f"len(list_filter(map_values(coalesce({column}, MAP {{}})), lambda v: coalesce(v, false)))"}[test]
-
-
-FAILURE_CATEGORIES = f"""WITH e AS (SELECT *, {_holds('fail_to_pass_results', 'total')} AS f, {_holds('fail_to_pass_results', 'passed')} AS fp,
-    {_holds('pass_to_pass_results', 'total')} AS p, {_holds('pass_to_pass_results', 'passed')} AS pp, coalesce(test_stdout, '') AS s FROM ({ENTRIES})),
-c AS (SELECT failure_category, CASE WHEN trim(coalesce(patch, '')) = '' THEN 'syntax_error' WHEN f > 0 AND fp = f AND pp = p THEN 'success' """ + " ".join(
-    f"WHEN regexp_matches(s, '(?i){pattern}') THEN '{name}'" for name, pattern in evaluation.LOG_RULES
-) + """ WHEN fp > 0 AND fp < f THEN 'incomplete_patch' WHEN f > 0 AND fp = f AND pp < p THEN 'wrong_file_edit' ELSE 'unknown' END AS category FROM e)
+    """The category that log, test results and earlier attempts of each attempt speak for, and how often the logged one
+    agrees. A patch counts as applied if it isn't blank."""
+    rows = _entries(spark, sf_dir, "instance_id", "attempt", "test_stdout", "patch", "fail_to_pass_results", "pass_to_pass_results", "failure_category")
+    rows = rows.withColumn("instance_id", F.when(F.trim("instance_id") != "", F.col("instance_id")))
+    marked = rows.select("entry_id", "instance_id", "attempt", "failure_category").withColumn("unsteady", evaluation.unsteady("instance_id", ["attempt", "entry_id"], "failure_category")).select("entry_id", "unsteady")
+    found = evaluation.failure_category(F.col("test_stdout"), F.trim(F.coalesce("patch", F.lit(""))) != "", F.col("fail_to_pass_results"), F.col("pass_to_pass_results"), F.col("unsteady"))
+    return rows.join(marked, "entry_id").groupBy(found.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.count_if(found == F.lower("failure_category")).alias("agreeing"))
+
+
+FAILURE_CATEGORIES = rf"""WITH e AS (SELECT *, cardinality(coalesce(fail_to_pass_results, MAP {{}})) AS f, cardinality(coalesce(pass_to_pass_results, MAP {{}})) AS p,
+    len(list_filter(map_values(coalesce(fail_to_pass_results, MAP {{}})), lambda v: v)) AS fp, len(list_filter(map_values(coalesce(pass_to_pass_results, MAP {{}})), lambda v: v)) AS pp,
+    coalesce(test_stdout, '') AS s, trim(instance_id) <> '' AND coalesce(min(failure_category) OVER w <> max(failure_category) OVER w, false) AS unsteady
+  FROM ({ENTRIES}) WINDOW w AS (PARTITION BY instance_id ORDER BY attempt, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT failure_category, CASE WHEN trim(coalesce(patch, '')) = '' THEN 'syntax_error' WHEN f > 0 AND fp = f AND pp = p THEN 'success'
+    WHEN s ILIKE '%SyntaxError%' OR s ILIKE '%IndentationError%' OR s ILIKE '%TabError%' THEN 'syntax_error'
+    WHEN s ILIKE '%ImportError%' OR s ILIKE '%ModuleNotFoundError%' OR s ILIKE '%cannot import name%' THEN 'import_error'
+    WHEN regexp_matches(s, '(?i)attributeerror: .+ object has no attribute') OR regexp_matches(s, '(?i)typeerror: .+ takes \d+ positional argument') OR regexp_matches(s, '(?i)nameerror: name .+ is not defined') THEN 'hallucinated_api'
+    WHEN s ILIKE '%TypeError:%' THEN 'type_error' WHEN s ILIKE '%AssertionError%' THEN 'assertion_error'
+    WHEN coalesce(unsteady, false) AND regexp_matches(s, '(?i)resourcewarning|random|race condition|flaky|connection refused|socket\.timeout') THEN 'flaky_test'
+    WHEN fp > 0 AND fp < f THEN 'incomplete_patch' WHEN pp < p AND fp = f THEN 'wrong_file_edit' ELSE 'unknown' END AS category FROM e)
 SELECT category, count(*) AS n, count(*) FILTER (category = lower(failure_category)) AS agreeing FROM c GROUP BY category"""
 
 
@@ -122,14 +128,14 @@ PROGRESS_ALL = PROGRESS.removesuffix(" WHERE n % 100 = 0")
 
 def tool_calls(spark, sf_dir):
     """Calls, failures, output characters and durations of each tool in any letter case."""
-    rows = rows_once(table(spark, sf_dir, "tool_results", "result_id", "tool_name", "success", "output", "metadata"), "result_id", whole=False)
+    rows = rows_once(table(spark, sf_dir, "tool_results", "result_id", "tool_name", "success", "output", "metadata"), "result_id")
     ms = F.col("metadata")["duration_ms"].try_cast("bigint")
     return rows.groupBy(F.lower(F.trim("tool_name")).alias("tool")).agg(
         F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("success")).alias("failures"), F.coalesce(F.sum(F.length("output")), F.lit(0)).alias("characters"), F.count(ms).alias("timed"), F.sum(ms).alias("total_ms")
     )
 
 
-TOOL_CALLS = """WITH t AS (SELECT DISTINCT ON (result_id) * FROM tool_results) SELECT lower(trim(tool_name)) AS tool, count(*) AS calls, count(*) FILTER (NOT success) AS failures,
+TOOL_CALLS = """WITH t AS (SELECT DISTINCT * FROM tool_results) SELECT lower(trim(tool_name)) AS tool, count(*) AS calls, count(*) FILTER (NOT success) AS failures,
   coalesce(sum(length(output)), 0)::BIGINT AS characters, count(TRY_CAST(metadata['duration_ms'] AS BIGINT)) AS timed, sum(TRY_CAST(metadata['duration_ms'] AS BIGINT))::BIGINT AS total_ms FROM t GROUP BY 1"""
 
 

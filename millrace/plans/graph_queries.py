@@ -27,7 +27,7 @@ def _graph(spark, sf_dir):
     return graph.edges(imports, calls)
 
 
-EDGES = r"""f AS (SELECT DISTINCT ON (file_id) regexp_replace(regexp_replace(replace(regexp_replace(file_path, '\.[A-Za-z]+$', ''), '/', '.'), '(?:^|\.)__init__$', ''), '\.[^.]+$', '') AS src, imports, calls FROM file_symbols),
+EDGES = r"""f AS (SELECT DISTINCT file_id, regexp_replace(regexp_replace(replace(regexp_replace(file_path, '\.[A-Za-z]+$', ''), '/', '.'), '(?:^|\.)__init__$', ''), '\.[^.]+$', '') AS src, imports, calls FROM file_symbols),
 x AS (SELECT src, regexp_replace(regexp_replace(m.module, '^\.+', ''), '\.[^.]+$', '') AS dst, 1 AS i, 0 AS c FROM (SELECT src, unnest(imports) AS m FROM f)
   UNION ALL SELECT src, split_part(c.callee, '.', 1), 0, 1 FROM (SELECT src, unnest(calls) AS c FROM f) WHERE c.callee LIKE '%.%' AND c.callee NOT LIKE 'self.%'),
 n AS (SELECT src, dst, sum(i) AS i, sum(c) AS c FROM x WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
@@ -95,7 +95,7 @@ def _linked(spark, sf_dir):
     return graph.edges(graph.resolved_imports(imports, rows.select("key", "node")), graph.resolved_calls(calls, symbols))
 
 
-LINKED = r"""f AS (SELECT *, CASE WHEN key = '' THEN '__init__' ELSE key END AS node FROM (SELECT DISTINCT ON (file_id) file_id, imports, functions, classes, calls,
+LINKED = r"""f AS (SELECT *, CASE WHEN key = '' THEN '__init__' ELSE key END AS node FROM (SELECT DISTINCT file_id, imports, functions, classes, calls,
     regexp_replace(replace(regexp_replace(file_path, '\.[A-Za-z]+$', ''), '/', '.'), '(?:^|\.)__init__$', '') AS key FROM file_symbols WHERE file_path IS NOT NULL)),
 i AS (SELECT row_number() OVER () AS id, * FROM (SELECT node AS src, unnest(imports).module AS name FROM f) WHERE name <> ''),
 ik AS (SELECT i.id, k.node, CASE WHEN k.key = name THEN 1e9 WHEN k.key = ltrim(name, '.') THEN 1e8 ELSE length(k.key) END AS score FROM i JOIN (SELECT DISTINCT key, node FROM f) k

@@ -113,7 +113,7 @@ def localised(spark, sf_dir):
 FUSED = PPR + """, sp AS (SELECT entry_id, doc, rank FROM spread WHERE rank <= 20),
 fu AS (SELECT coalesce(a.entry_id, b.entry_id) AS entry_id, coalesce(a.doc, b.doc) AS file_id, a.rank AS bm25_rank, b.rank AS ppr_rank,
   round(coalesce(0.4 / (60 + a.rank), 0) + coalesce(0.2 / (60 + b.rank), 0), 9) AS score FROM words a FULL JOIN sp b ON a.entry_id = b.entry_id AND a.doc = b.doc)"""
-SIZES = "(SELECT DISTINCT ON (file_id) file_id, length({summary}) AS size FROM file_symbols WHERE coalesce(parse_error, '') = '')"
+SIZES = "(SELECT DISTINCT file_id, length({summary}) AS size FROM file_symbols WHERE coalesce(parse_error, '') = '')"
 
 
 def _localised_sql() -> str:

@@ -54,7 +54,7 @@ SUMMARY = JOINED.format(
     + JOINED.format("x.module, array_to_string(coalesce(x.names, []), ' ')") + " for x in coalesce(imports, [])], ' ')"
 )
 FILES = f"""files AS (
-  SELECT DISTINCT ON (file_id) file_id, file_path, {TOKENS.format("translate(file_path, '/_.', '   ')")} AS p, {TOKENS.format(SUMMARY)} AS s
+  SELECT DISTINCT file_id, file_path, {TOKENS.format("translate(file_path, '/_.', '   ')")} AS p, {TOKENS.format(SUMMARY)} AS s
   FROM file_symbols WHERE coalesce(parse_error, '') = '')"""
 BM25 = f"""WITH {FILES},
 docs AS (SELECT file_id AS doc, p || p || s AS t FROM files WHERE len(p || p || s) > 0),
@@ -120,7 +120,7 @@ def recall_at_k(spark, sf_dir):
 
 
 GOLD = r"list_distinct(regexp_extract_all(coalesce(patch, ''), '(?m)^(?:\+\+\+|---)[ \t]+[ab]/([^\s]+)', 1))"
-RECALL = f"""WITH e AS (SELECT DISTINCT ON (entry_id) attempt, {GOLD} AS gold,
+RECALL = f"""WITH e AS (SELECT DISTINCT entry_id, attempt, {GOLD} AS gold,
   [x for x, i in coalesce(localised_files, []) if list_position(localised_files, x) = i] AS found FROM trajectories),
 g AS (SELECT attempt, gold, found FROM e WHERE len(gold) > 0)
 SELECT attempt, count(*) AS n,
@@ -142,7 +142,7 @@ NAME_HITS = r"""WITH h AS (SELECT DISTINCT entry_id, coalesce(problem_statement,
 n AS (SELECT entry_id, unnest(regexp_extract_all(t, '`([A-Za-z_][\w.]*)`', 1) || regexp_extract_all(t, '\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b', 1)
   || regexp_extract_all(t, '\b([a-z]+_[a-z0-9_]+)\b', 1) || regexp_extract_all(t, '\b([a-z_]+(?:\.[a-z_]+)+)\b', 1)) AS name FROM h),
 p AS (SELECT DISTINCT entry_id, part FROM (SELECT entry_id, unnest(string_split_regex(lower(name), '[^a-z0-9]+')) AS part FROM n) WHERE length(part) > 2),
-f AS (SELECT DISTINCT ON (file_id) file_id, lower(file_path) AS path FROM file_symbols),
+f AS (SELECT DISTINCT file_id, lower(file_path) AS path FROM file_symbols),
 k AS (SELECT DISTINCT file_id, unnest(string_split_regex(path, '[^a-z0-9]+')) AS part, regexp_extract(path, '([^/]+?)\.[a-z]+$', 1) AS stem FROM f),
 s AS (SELECT entry_id, file_id, sum(CASE WHEN stem = part THEN 3 ELSE 1 END)::BIGINT AS score FROM p JOIN k USING (part) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY score DESC, file_id) AS rank FROM s)
