@@ -9,6 +9,7 @@ edit only the pieces near it are encoded again.
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -104,40 +105,53 @@ class PrefixEncoder:
         ids: list[int] = []
         known = self.known
         for piece in self.pieces.findall(text or ""):
-            found = known.get(piece)
-            if found is None:
-                if len(known) >= REMEMBERED:  # the older half goes
-                    for old in list(islice(known, REMEMBERED // 2)):
-                        del known[old]
-                found = known[piece] = self.encode_piece(piece.encode())
-            ids += found
+            ids += known.get(piece) or self.remembered(piece)
         return ids
 
-    def edit(self, text: str, ids: list[int], start: int, end: int, new: str) -> tuple[str, list[int]]:
-        """``text`` with the characters from ``start`` to ``end`` replaced by ``new``, and its ids.
-
-        Tokens of pieces that end two pieces before the edit, and of those from where the old and the new pieces
-        fall into step again behind it, are taken over from ``ids``; only what lies between is encoded.
+    def encode_pieces(self, text: str | None) -> tuple[list[int], list[int], list[int]]:
+        """The ids of ``text`` with, for each of its pieces, the number of characters and of ids up to its end. With these
+        the text can be edited."""
+        ids: list[int] = []
+        ends, counts = [], []
+        for m in self.pieces.finditer(text or ""):
+            ids += self.remembered(m.group())
+            ends.append(m.end())
+            counts.append(len(ids))
+        return ids, ends, counts
+
+    def edit(self, text: str, encoded: tuple[list[int], list[int], list[int]], start: int, end: int, new: str) -> tuple[str, tuple[list[int], list[int], list[int]]]:
+        """``text`` with the characters from ``start`` to ``end`` replaced by ``new``, and its ``encode_pieces``.
+
+        Pieces that end two before the edit are taken over, and so are those behind it from where old and new pieces fall
+        into step again; only what lies between is cut and encoded. The places are found by bisection, so besides
+        copying lists an edit costs only the pieces near it. An append is an edit at the end.
         """
+        ids, ends, counts = encoded
         changed = text[:start] + new + text[end:]
-        spans = [m.span() for m in self.pieces.finditer(text, 0, len(text))]
-        first = max(0, next((k for k, s in enumerate(spans) if s[1] >= start), len(spans)) - 2)
-        at = spans[first][0] if first < len(spans) else 0
-        counts = [len(self.encode_piece_text(text[a:b])) for a, b in spans]
-        kept = ids[: sum(counts[:first])]
-        shift, rest = len(changed) - len(text), {s[0]: k for k, s in enumerate(spans) if s[0] >= end}
-        middle: list[int] = []
+        first = max(0, bisect_left(ends, start) - 2)
+        at, n = (ends[first - 1], counts[first - 1]) if first else (0, 0)
+        out, new_ends, new_counts = ids[:n], ends[:first], counts[:first]
+        shift = len(changed) - len(text)
         for m in self.pieces.finditer(changed, at):
-            k = rest.get(m.start() - shift)
-            if k is not None and m.start() >= start + len(new) and spans[k][1] + shift == m.end():
-                return changed, kept + middle + ids[sum(counts[:k]) :]
-            middle += self.encode_piece_text(m.group())
-        return changed, kept + middle
-
-    def encode_piece_text(self, piece: str) -> tuple[int, ...]:
-        if piece not in self.known:
-            self.known[piece] = self.encode_piece(piece.encode())
-        return self.known[piece]
+            out += self.remembered(m.group())
+            new_ends.append(m.end())
+            new_counts.append(len(out))
+            k = bisect_left(ends, m.end() - shift)
+            # In step behind the edit: the same place is the end of an old piece, and what follows is unchanged.
+            if m.end() > start + len(new) + 1 and k < len(ends) and ends[k] == m.end() - shift and ends[k] > end + 1:
+                more = len(out) - counts[k]
+                return changed, (out + ids[counts[k] :], new_ends + [e + shift for e in ends[k + 1 :]], new_counts + [c + more for c in counts[k + 1 :]])
+        return changed, (out, new_ends, new_counts)
+
+    def remembered(self, piece: str) -> tuple[int, ...]:
+        """The ids of a piece; those of the last REMEMBERED pieces are kept, and of more the older half goes."""
+        found = self.known.get(piece)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                for old in list(islice(self.known, REMEMBERED // 2)):
+                    del self.known[old]
+            found = self.known[piece] = self.encode_piece(piece.encode())
+        return found
 
 
 @lru_cache(maxsize=4)
@@ -179,3 +193,23 @@ def encode_documents(documents: DataFrame, ranks_file: str = RANKS_FILE) -> Data
     """
     rows = rows_once(documents.select("doc_id", "text"), "doc_id")
     return rows.select("doc_id", token_ids("text", ranks_file).alias("ids"))
+
+
+def edited_documents(documents: DataFrame, ranks_file: str = RANKS_FILE) -> DataFrame:
+    """(doc_id, edited, appended, edited_same, appended_same) of every distinct row of ``documents``(doc_id, text, source):
+    how many ids a text has with three characters in its middle replaced by the source, and with the source appended, both
+    encoded from the ids of the text as it was; and whether encoding anew gives the same. Nulls count as empty texts."""
+    rows = rows_once(documents.select("doc_id", "text", "source"), "doc_id")
+
+    @F.pandas_udf("edited int, appended int, edited_same boolean, appended_same boolean")
+    def change(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        coder = encoder(ranks_file)
+        for texts, sources in batches:
+            out = []
+            for text, new in zip(texts.fillna(""), sources.fillna("")):
+                old, middle = coder.encode_pieces(text), len(text) // 2
+                (a, x), (b, y) = coder.edit(text, old, middle, min(middle + 3, len(text)), new), coder.edit(text, old, len(text), len(text), new)
+                out.append((len(x[0]), len(y[0]), x == coder.encode_pieces(a), y == coder.encode_pieces(b)))
+            yield pd.DataFrame(out, columns=["edited", "appended", "edited_same", "appended_same"])
+
+    return rows.select("doc_id", change("text", "source").alias("c")).select("doc_id", "c.*")

@@ -27,6 +27,19 @@ def p3_splits(spark, sf_dir):
     return splits.split_entries(entries, table(spark, sf_dir, "repo_moves"))
 
 
+def p3_deviation(spark, sf_dir):
+    entries = table(spark, sf_dir, "trajectories", "entry_id", "instance_id", "repo", "resolved")
+    return splits.split_deviation(p3_splits(spark, sf_dir), entries.select("entry_id", F.col("resolved").alias("label")))
+
+
+def p3_unity(spark, sf_dir):
+    """Entries, groups, groups in more than one split, and whether every split is within a hundredth of its share."""
+    found = p3_splits(spark, sf_dir)
+    per_group = found.groupBy("group_id").agg(F.count_distinct("split").alias("splits"), F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("split") == s).alias(s) for s in splits.PARTS))
+    close = [F.abs(F.sum(s) / F.sum("n") - share) <= 0.01 for s, share in splits.PARTS.items()]
+    return per_group.agg(F.sum("n").alias("entries"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("splits") > 1).alias("torn"), (close[0] & close[1] & close[2]).alias("close"))
+
+
 def p4_found(spark, sf_dir):
     return overlap.cross_split_pairs(table(spark, sf_dir, "fine_tuning", "example_id", "split", "source", "messages"))
 
@@ -53,6 +66,10 @@ def p6_ids(spark, sf_dir):
     return encoding.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def p6_edits(spark, sf_dir):
+    return encoding.edited_documents(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def p7_containers(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -74,11 +91,14 @@ QUERIES = {
     "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
+    "p3_deviation": p3_deviation,
+    "p3_unity": p3_unity,
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_ids": p6_ids,
+    "p6_edits": p6_edits,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
     "p8_found": p8_found,
@@ -106,4 +126,8 @@ grouped AS (SELECT min(entry_id) OVER (PARTITION BY issue) AS group_id, entry_id
 SELECT group_id, entry_id FROM grouped WHERE n > 1
 """
 
-ORACLES = {"p3_found": P3_FOUND}
+P3_UNITY = P3_FOUND.replace(
+    "SELECT group_id, entry_id FROM grouped WHERE n > 1",
+    "SELECT (SELECT count(DISTINCT entry_id) FROM trajectories) AS entries, (SELECT count(DISTINCT entry_id) FROM trajectories) - (SELECT count(*) FROM grouped) + (SELECT count(DISTINCT group_id) FROM grouped) AS groups, 0 AS torn, true AS close",
+)
+ORACLES = {"p3_found": P3_FOUND, "p3_unity": P3_UNITY}

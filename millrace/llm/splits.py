@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from millrace.operators.components import record_components
 from millrace.session import checkpointed
 
-#: A component with at least this share of all records is placed one by one; there are at most 1 / HEAVY of them.
-HEAVY = 0.002
-#: Hash buckets of a stratum, between which offsets are carried instead of sorting the stratum in one task.
-BUCKETS = 1024
+#: Up to this size groups are alike only if they are equal in size and labels; larger ones by classes.
+EXACT = 8
+#: Groups of a hash bucket, between which offsets are carried instead of sorting a stratum in one task.
+BUCKET = 20_000
+#: So many strata are broadcast at most; beyond that the groups are shuffled to them.
+BROADCAST_STRATA = 100_000
 
 
 def normal_repo(name: Column) -> Column:
@@ -84,77 +86,110 @@ def related_entries(entries: DataFrame, moves: DataFrame) -> DataFrame:
     return groups.join(shared, "component", "left_semi").select(F.col("component").alias("group_id"), "entry_id")
 
 
+def group_kinds(records: DataFrame) -> DataFrame:
+    """(group, size, stratum, labels) of ``records``(record, group, label): groups of one stratum count as alike.
+
+    Up to EXACT records they have the same number of each label. Above, they are of one class of sizes (four to each
+    doubling), and share the commonest label, its part in eighths, and the second label; so there are no more strata than
+    the labels and classes allow, however many groups.
+    """
+    labelled = records.groupBy("group", F.coalesce(F.col("label").cast("string"), F.lit("\0null")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    groups = labelled.groupBy("group").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("n", "label")), asc=False).alias("labels"))
+    exact = F.to_json(F.struct(F.array_sort("labels").alias("l")))
+    first = F.col("labels")[0]
+    coarse = F.concat_ws("|", F.floor(4 * F.log2("size")), first["label"], F.floor(8 * first["n"] / F.col("size")), F.get("labels", F.lit(1))["label"])
+    return groups.select("group", "size", F.when(F.col("size") <= EXACT, exact).otherwise(coarse).alias("stratum"), "labels")
+
+
+def dealt(strata: list[tuple[str, int, dict[str, float]]], parts: dict[str, float]) -> dict[str, list[int]]:
+    """How many groups of each stratum every split gets. ``strata`` are (name, groups, mean label counts of a group).
+
+    Strata of large groups come first. Of each, a split gets as many groups as bring it nearest to the label counts that it
+    should have by then (a least-squares solution, cut at nothing and rounded down), and the groups that are
+    left go one by one to where they leave the least squared deviation; so what large groups leave askew smaller
+    ones mend.
+    """
+    have: dict[str, dict[str, float]] = {s: {} for s in parts}
+    seen: dict[str, float] = {}
+    given = {}
+    for name, groups, labels in sorted(strata, key=lambda x: (-sum(x[2].values()), x[0])):
+        for k, n in labels.items():
+            seen[k] = seen.get(k, 0.0) + n * groups
+        norm = sum(n * n for n in labels.values())
+        wanted = {s: max(0.0, sum(n * (parts[s] * seen[k] - have[s].get(k, 0.0)) for k, n in labels.items()) / norm) for s in parts}
+        scale = groups / (sum(wanted.values()) or 1.0)
+        counts = {s: int(w * scale + 1e-9) for s, w in wanted.items()}
+        for s in parts:
+            for k, n in labels.items():
+                have[s][k] = have[s].get(k, 0.0) + n * counts[s]
+        for _ in range(groups - sum(counts.values())):
+            best = min(parts, key=lambda s: sum(n * n + 2 * n * (have[s][k] - parts[s] * seen[k]) for k, n in labels.items()))
+            counts[best] += 1
+            for k, n in labels.items():
+                have[best][k] += n
+        given[name] = list(counts.values())
+    return given
+
+
 def stratified_groups(records: DataFrame, parts: dict[str, float], seed: int = 0) -> DataFrame:
     """Assign whole groups to splits.
 
     ``records`` has (record, group, label); returns (group, size, split). ``parts`` gives the wanted share of
     every split. A null label counts as a label of its own.
 
-    Groups are strata by their commonest label and size class. In a stratum they stand in hash order, and a group
-    goes to the split in whose share the middle of its interval on the running total of sizes lies; so each
-    stratum is divided in proportion up to one group per border. The running total is carried from hash bucket to
-    hash bucket, never over a whole stratum in one task. Groups with at least HEAVY of all records, of which there
-    can be no more than 1 / HEAVY, come first, each to the split where it leaves the least squared deviation of
-    the label counts from the wanted ones, and the strata then fill what the heavy groups have left of each share.
+    How many groups of each stratum of ``group_kinds`` a split gets is told from the strata's counts alone, by ``dealt``,
+    at every size of groups alike. Which ones, the order of a seeded hash tells: a group's rank in its stratum is carried
+    from hash bucket to hash bucket, so no stratum is sorted in one task.
     """
     total_parts = sum(parts.values())
     parts = {k: v / total_parts for k, v in parts.items()}
-    labelled = records.groupBy("group", F.coalesce(F.col("label").cast("string"), F.lit("\0null")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    groups = labelled.groupBy("group").agg(
-        F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("labels")
-    )
-    groups = checkpointed(groups)
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    limit = max(2, total * HEAVY)
-    heavy = groups.where(F.col("size") >= limit).select("group", "size", "labels").orderBy(F.desc("size"), "group").collect()
-    label_totals = {r["label"]: r["n"] for r in groups.select(F.explode("labels").alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(1000).collect()}
-    want = {s: {k: share * n for k, n in label_totals.items()} for s, share in parts.items()}
-    have = {s: dict.fromkeys(label_totals, 0) for s in parts}
-    placed: dict[str, list] = {s: [] for s in parts}
-    for g in heavy:
-        def after(s, g=g):
-            return sum((have[s].get(k, 0) + n - w) ** 2 - (have[s].get(k, 0) - w) ** 2 for k, n in g["labels"].items() for w in [want[s].get(k, 0)])
-
-        best = min(parts, key=after)
-        placed[best].append(g["group"])
-        for k, n in g["labels"].items():
-            have[best][k] = have[best].get(k, 0) + n
-    left = {s: max(0.0, parts[s] * total - sum(have[s].values())) for s in parts}
-    scale = sum(left.values()) or 1.0
-    light = groups.where(F.col("size") < limit).select(
-        "group", "size", F.concat_ws("|", F.col("top.label"), F.floor(F.log2("size")).cast("string")).alias("stratum"), F.xxhash64("group", F.lit(seed)).alias("h")
-    ).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    sums = light.groupBy("stratum", "bucket").agg(F.sum("size").alias("bucket_size"))
-    carried = Window.partitionBy("stratum").orderBy("bucket")
-    sums = sums.select(
-        "stratum", "bucket",
-        F.coalesce(F.sum("bucket_size").over(carried.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.sum("bucket_size").over(Window.partitionBy("stratum")).alias("stratum_size"),
-    )
-    inner = Window.partitionBy("stratum", "bucket").orderBy("h", "group").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = (F.col("before") + F.sum("size").over(inner) - F.col("size") / 2) / F.col("stratum_size")
-    # A shift by the stratum, so that the borders of many small strata don't all fall on the same side.
-    turn = F.pmod(F.xxhash64("stratum", F.lit(seed)), F.lit(10_000)) / 10_000
-    at = (middle + turn) - F.floor(middle + turn)
-    split = F.lit(list(parts)[-1])
-    reach, choice = 0.0, None
-    for s in parts:
-        reach += left[s] / scale
-        choice = (F if choice is None else choice).when(F.col("at") < reach, F.lit(s))
-    light = light.join(sums, ["stratum", "bucket"]).select("group", "size", at.alias("at")).select("group", "size", choice.otherwise(split).alias("split"))
-    heavy_rows = groups.where(F.col("size") >= limit)
-    choice = F.lit(list(parts)[0])
-    for s, members in placed.items():
-        if members:
-            choice = F.when(F.col("group").isin(members), F.lit(s)).otherwise(choice)
-    return light.unionByName(heavy_rows.select("group", "size", choice.alias("split")))
-
-
-def split_entries(entries: DataFrame, moves: DataFrame, parts: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
+    groups = checkpointed(group_kinds(records))
+    counts = groups.groupBy("stratum").agg(F.count(F.lit(1)).alias("groups"))
+    sums = groups.select("stratum", F.explode("labels").alias("l")).groupBy("stratum", "l.label").agg(F.sum("l.n").alias("n"))
+    strata = counts.join(sums.groupBy("stratum").agg(F.collect_list(F.struct("label", "n")).alias("labels")), "stratum").collect()
+    given = dealt([(r.stratum, r.groups, {x.label: x.n / r.groups for x in r.labels}) for r in strata], parts)
+    spark = records.sparkSession
+    cuts = spark.createDataFrame([(k, [sum(v[: i + 1]) for i in range(len(v))]) for k, v in given.items()], "stratum string, cuts array<bigint>")
+    total = sum(r.groups for r in strata)
+    rows = groups.select("group", "size", "stratum", F.xxhash64("group", F.lit(seed)).alias("h")).withColumn("bucket", F.pmod("h", F.lit(max(1, -(-total // BUCKET)))))
+    before = Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n")).select("stratum", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried"))
+    known = carried.join(F.broadcast(cuts) if len(given) <= BROADCAST_STRATA else cuts, "stratum")
+    rank = F.col("carried") + F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("h", "group"))
+    ranked = rows.join(known, ["stratum", "bucket"]).select("group", "size", "cuts", rank.alias("rank"))
+    passed = F.size(F.filter("cuts", lambda c: c < F.col("rank")))
+    names = F.array(*(F.lit(s) for s in parts))
+    return ranked.select("group", "size", F.get(names, F.least(passed, F.lit(len(parts) - 1))).alias("split"))
+
+
+PARTS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def split_entries(entries: DataFrame, moves: DataFrame, parts: dict[str, float] | None = None, seed: int = 0, more: DataFrame | None = None) -> DataFrame:
     """(entry_id, group_id, split) of every distinct entry: entries of one issue share the split, an entry whose
-    issue is unknown is a group of its own. Stratified by ``resolved``. Null entry_ids are dropped."""
-    groups = checkpointed(record_components(issue_links(entries, moves), "entry_id", "issue"))
+    issue is unknown is a group of its own. Stratified by ``resolved``. Null entry_ids are dropped.
+
+    ``more``(entry_id, entity) names further entities, as authors or sources, whose entries must stay together as well;
+    they must differ from the issues' names (owner/name#number). Groups are then joined over all of them.
+    """
+    links = issue_links(entries, moves).select("entry_id", F.col("issue").alias("entity"))
+    if more is not None:
+        known = links.select("entry_id").distinct()
+        links = links.unionByName(more.select("entry_id", F.concat(F.lit("\0"), F.col("entity").cast("string")).alias("entity")).join(known, "entry_id", "left_semi"))
+    groups = checkpointed(record_components(links, "entry_id", "entity"))
     labels = entries.where("entry_id is not null").groupBy("entry_id").agg(F.max("resolved").alias("label"))
     records = groups.join(labels, "entry_id").select(F.col("entry_id").alias("record"), F.col("component").alias("group"), "label")
-    assigned = stratified_groups(records, parts or {"train": 0.8, "validation": 0.1, "test": 0.1}, seed)
+    assigned = stratified_groups(records, parts or PARTS, seed)
     return groups.join(assigned, groups.component == assigned.group).select("entry_id", F.col("component").alias("group_id"), "split")
+
+
+def split_deviation(splits: DataFrame, labels: DataFrame, parts: dict[str, float] | None = None) -> DataFrame:
+    """(split, label, n, wanted, deviation) of ``splits``(entry_id, split) with ``labels``(entry_id, label): how many entries of a
+    label each split has, its share of the label's entries, and by how much of them it misses it. Null labels are '?'."""
+    parts = parts or PARTS
+    rows = splits.join(labels.select("entry_id", F.coalesce(F.col("label").cast("string"), F.lit("?")).alias("label")).groupBy("entry_id").agg(F.max("label").alias("label")), "entry_id")
+    counts = rows.groupBy("label").pivot("split", list(parts)).agg(F.count(F.lit(1))).na.fill(0)
+    whole = sum((F.col(s) for s in parts), F.lit(0))
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("split"), F.col(s).alias("n"), (whole * share).alias("wanted"), whole.alias("of")) for s, share in parts.items())))
+    found = counts.select("label", each.alias("c")).select("c.split", "label", "c.n", "c.wanted", "c.of")
+    return found.select("split", "label", "n", F.round("wanted", 2).alias("wanted"), F.round((F.col("n") - F.col("wanted")) / F.col("of"), 6).alias("deviation"))

@@ -38,8 +38,28 @@ def test_appends_and_edits(reference):
         text = random_text(rng)
         start = rng.randint(0, len(text))
         end = rng.randint(start, len(text))
-        changed, ids = e.edit(text, e.encode_text(text), start, end, random_text(rng)[:5])
-        assert ids == reference.encode_ordinary(changed)
+        changed, encoded = e.edit(text, e.encode_pieces(text), start, end, random_text(rng)[:5])
+        assert encoded == e.encode_pieces(changed) and encoded[0] == reference.encode_ordinary(changed)
+
+
+def test_an_edit_is_local(monkeypatch):
+    e = encoding.encoder()
+    text = "some words of a text, " * 20_000
+    encoded, touched = e.encode_pieces(text), []
+    monkeypatch.setattr(e, "remembered", lambda piece, own=e.remembered: touched.append(piece) or own(piece))
+    for start in (len(text) - 9, len(text), len(text) // 2, 0):
+        changed, found = e.edit(text, encoded, start, min(start + 3, len(text)), "new")
+        assert len(touched) < 10
+        touched.clear()
+        assert found == encoding.encoder().encode_pieces(changed)
+        touched.clear()
+
+
+def test_edited_documents(spark):
+    df = spark.createDataFrame([(i, t, s, "clash") for i, t in enumerate(TEXTS) for s in ("web 9", None)], "doc_id long, text string, source string, edited string")
+    rows = encoding.edited_documents(df.union(df)).collect()
+    assert len(rows) == 2 * len(TEXTS) and all(r.edited_same and r.appended_same for r in rows)
+    assert encoding.edited_documents(df.limit(0)).count() == 0
 
 
 def test_best_fit_decreasing_by_hand():

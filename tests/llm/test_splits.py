@@ -43,3 +43,21 @@ def test_groups_stay_together_and_shares_hold(spark):
 def test_split_of_nothing(spark):
     assert splits.split_entries(entries(spark, [(1, "a__b-1", None)]).limit(0), moves(spark)).count() == 0
     assert splits.split_entries(entries(spark, [(1, None, None)]), moves(spark)).count() == 1
+
+
+def test_least_deviation_of_labels(spark):
+    """A few large groups of one label each; the small ones mend what they leave askew."""
+    rows = [(100_000 * g + i, f"o__big-{g}", None, g % 2 == 0) for g in range(1, 8) for i in range(40 * g)] + [(i, f"o__r-{i // 2}", None, i % 4 < 2) for i in range(1, 3000)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], COLUMNS)
+    got = splits.split_entries(df, moves(spark))
+    rows = splits.split_deviation(got, df.select("entry_id", F.col("resolved").alias("label"))).collect()
+    assert len(rows) == 6 and all(abs(r.deviation) < 0.005 for r in rows), rows
+
+
+def test_more_entities(spark):
+    rows = [(i, f"o__r-{i}", None) for i in range(1, 200)]
+    df = entries(spark, rows)
+    authors = spark.createDataFrame([(i, i // 10, "x") for i in range(1, 200)] + [(None, 1, "x"), (5000, 1, "x")], "entry_id long, entity long, split string")
+    got = splits.split_entries(df, moves(spark), more=authors)
+    assert got.count() == 199 and got.select("group_id").distinct().count() == 20
+    assert got.groupBy("group_id").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
