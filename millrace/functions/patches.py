@@ -53,7 +53,7 @@ def found_blocks(edits: DataFrame, key: str) -> DataFrame:
     both that are equal propose where the block may begin; texts that share none try every place. The likeness of a place
     is the mean over the block's lines, and a line beyond the end counts nothing. The earliest of equal places is taken.
     """
-    trimmed = lambda c: F.transform(F.split(c, "\n"), F.trim)
+    trimmed = lambda c: F.transform(F.split(c, "\n"), lambda x: F.trim(x))
     block = F.regexp_replace("search", r"^\n+|\n+$", "")
     rows = edits.where(F.trim("search") != "").select(key, trimmed(F.col("content")).alias("have"), trimmed(block).alias("want"))
     have = rows.select(key, F.posexplode("have").alias("place", "line"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.components import record_components
+from millrace.operators.distinct import rows_once
 from millrace.session import checkpointed
 
 #: Width of a value sketch: relative frequencies of value tokens, by hash bucket.
@@ -21,6 +22,8 @@ SKETCH = 64
 WEIGHTS = {"values": 0.45, "place": 0.3, "name": 0.15, "presence": 0.1}
 RENAME_FROM = 0.5
 FILE = ["series", "source_file", "file_seq"]
+#: So many names of fields in files are broadcast at most; beyond that the fields are shuffled to them.
+BROADCAST_NAMES = 200_000
 
 
 def readable_lines(lines: DataFrame) -> DataFrame:
@@ -28,12 +31,11 @@ def readable_lines(lines: DataFrame) -> DataFrame:
 
     Blank and null lines, other JSON values, broken JSON, objects with something behind them and objects with a
     repeated key are left out. The line is parsed inside brackets, since the parser alone would stop after the
-    first value and not see what follows.
+    first value and not see what follows. Lines are told apart by their place, so only repeated ones are shuffled.
     """
     boxed = F.expr("try_parse_json('[' || line || ']')")
     return (
-        lines.select(*FILE, "line_no", "line")
-        .dropDuplicates()
+        rows_once(lines.select(*FILE, "line_no", "line"), *FILE, "line_no")
         .withColumn("boxed", boxed)
         .where(F.expr("boxed is not null and schema_of_variant(boxed) like 'ARRAY<OBJECT<%' and try_variant_get(boxed, '$[1]', 'variant') is null"))
         .select(*FILE, "line_no", "line", F.expr("variant_get(boxed, '$[0]', 'variant')").alias("object"))
@@ -196,6 +198,11 @@ def rename_candidates(steps: DataFrame, fields: DataFrame) -> DataFrame:
     return pairs.select("series", "source_file", "old_name", "new_name", values.alias("values"), place.alias("place"), presence.alias("presence"), likeness.alias("likeness"))
 
 
+def parsed_fields(lines: DataFrame) -> DataFrame:
+    """``top_level`` of the readable lines, parsed once and kept in the shared folder, since it is read several times."""
+    return checkpointed(top_level(readable_lines(lines)))
+
+
 def schema_changes(lines: DataFrame) -> DataFrame:
     """Every change of a top-level field between a file and the file before it in its series.
 
@@ -203,42 +210,98 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     once. Returns (source_file, change, old_name, new_name) where change is added, removed, renamed or type_changed.
     An empty input, or series of a single file, give no rows.
     """
-    fields = top_level(readable_lines(lines))
-    steps = checkpointed(field_steps(layouts(fields)))
+    return field_changes(parsed_fields(lines)).drop("series", "file_seq")
+
+
+def field_changes(fields: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+    """``schema_changes`` of ``parsed_fields``, with the series and file_seq of the later file."""
+    steps = checkpointed(field_steps(layouts(fields) if layout is None else layout))
     renamed = rename_candidates(steps, fields).select("series", "source_file", "old_name", "new_name", "likeness").groupBy("series", "source_file").applyInPandas(
         match_fields, "series string, source_file string, old_name string, new_name string"
     )
-    retyped = steps.where("in_new and in_old and old_type <> new_type").select("source_file", F.lit("type_changed").alias("change"), F.col("field").alias("old_name"), F.col("field").alias("new_name"))
+    retyped = steps.where("in_new and in_old and old_type <> new_type").select("series", "source_file", F.lit("type_changed").alias("change"), F.col("field").alias("old_name"), F.col("field").alias("new_name"))
     # A matched pair takes the place of its removal and its addition.
     single = steps.where("in_new is null or in_old is null").select("series", "source_file", "field", F.col("in_old").isNull().alias("added"))
     matched = renamed.select("series", "source_file", F.explode(F.array(F.struct(F.col("old_name").alias("field"), F.lit(False).alias("added")), F.struct(F.col("new_name").alias("field"), F.lit(True).alias("added")))).alias("m")).select("series", "source_file", "m.*")
     rest = single.join(matched, ["series", "source_file", "field", "added"], "left_anti").select(
+        "series",
         "source_file",
         F.when(F.col("added"), "added").otherwise("removed").alias("change"),
         F.when(F.col("added"), "").otherwise(F.col("field")).alias("old_name"),
         F.when(F.col("added"), F.col("field")).otherwise("").alias("new_name"),
     )
-    return rest.unionByName(retyped).unionByName(renamed.select("source_file", F.lit("renamed").alias("change"), "old_name", "new_name"))
+    changes = rest.unionByName(retyped).unionByName(renamed.select("series", "source_file", F.lit("renamed").alias("change"), "old_name", "new_name"))
+    return changes.join(steps.select("series", "source_file", "file_seq").distinct(), ["series", "source_file"])
 
 
-def field_families(fields: DataFrame, changes: DataFrame) -> DataFrame:
-    """(field, name): fields linked by renames share as ``name`` the one that most lines use."""
-    renames = changes.where("change = 'renamed'").select("old_name", "new_name").distinct().withColumn("record", F.struct("old_name", "new_name"))
-    links = renames.select("record", F.explode(F.array("old_name", "new_name")).alias("entity"))
-    family = links.join(record_components(links), "record").select(F.col("entity").alias("field"), "component").distinct()
-    used = fields.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
-    rows = used.join(family, "field", "left").withColumn("family", F.coalesce(F.to_json("component"), F.col("field")))
-    common = rows.groupBy("family").agg(F.max_by("field", F.struct("n", "field")).alias("name"))
-    return rows.join(common, "family").select("field", "name")
+def field_tracks(layout: DataFrame, changes: DataFrame) -> DataFrame:
+    """(series, file_seq, source_file, field, track): what goes on under changing names within one series.
+
+    A field lives from a file in whose layout it is new to the last file before one that lacks it; a rename joins the
+    life that ends with the one that begins. A name that is given up and later taken again is another life.
+    """
+    files = layout.select(*FILE).distinct().withColumn("no", F.row_number().over(Window.partitionBy("series").orderBy("file_seq", "source_file")))
+    placed = layout.select(*FILE, "field").join(files, FILE)
+    own = Window.partitionBy("series", "field").orderBy("no")
+    fresh = F.coalesce(F.col("no") - F.lag("no").over(own) > 1, F.lit(True))
+    begun = F.max(F.when(fresh, F.col("no"))).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lives = placed.withColumn("life", F.struct("series", "field", begun.alias("begun")))
+    renames = changes.where("change = 'renamed'").join(files.select("series", "source_file", "no"), ["series", "source_file"])
+    here, there = lives.select("series", F.col("field").alias("new_name"), "no", F.col("life").alias("new")), lives.select("series", F.col("field").alias("old_name"), (F.col("no") + 1).alias("no"), F.col("life").alias("old"))
+    links = renames.join(here, ["series", "new_name", "no"]).join(there, ["series", "old_name", "no"]).select("new", "old").distinct().withColumn("record", F.struct("old", "new"))
+    ends = links.select("record", F.explode(F.array("old", "new")).alias("entity"))
+    joined = ends.join(record_components(ends), "record").select(F.col("entity").alias("life"), F.col("component.old").alias("track")).distinct()
+    joined = joined.groupBy("life").agg(F.min("track").alias("track"))
+    return lives.join(joined, "life", "left").select(*FILE, "field", F.to_json(F.coalesce("track", "life")).alias("track"))
+
+
+def field_names(fields: DataFrame, layout: DataFrame, changes: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(series, source_file, file_seq, field, name): what each field of each file is called in the one table.
+
+    Names that share a track in any series are one family, called by the one that most lines use, one of the ``columns`` if
+    there is any, in all series; so a series that never renamed is named as the others. But a name that shares tracks with two names that some file has
+    both means different things in different series: it links nothing, and its tracks are called by their
+    other names. A family that still holds two fields of one file isn't applied; its tracks are called by their own
+    commonest name. Fields that belong to no layout keep their names.
+    """
+    tracks = checkpointed(field_tracks(layout, changes))
+    used = checkpointed(fields.where("field is not null").groupBy("field").agg(F.count(F.lit(1)).alias("n")))
+    members = checkpointed(tracks.select("track", "field").distinct())
+    pairs = checkpointed(members.join(members.withColumnRenamed("field", "other"), "track").where("field <> other").select("field", "other").distinct())
+    renamed = pairs.select("field").distinct()
+    # Which of the renamed names stand together in some file's layout.
+    in_files = tracks.join(renamed, "field", "left_semi").select(*FILE, "field").distinct()
+    together = checkpointed(in_files.join(in_files.withColumnRenamed("field", "other"), FILE).where("field < other").select("field", "other").distinct())
+    both = pairs.join(pairs.withColumnRenamed("other", "third"), "field").where("other < third")
+    ambiguous = both.join(together.select(F.col("field").alias("other"), F.col("other").alias("third")), ["other", "third"], "left_semi").select("field").distinct()
+    clear = pairs.join(ambiguous, "field", "left_anti").join(ambiguous.withColumnRenamed("field", "other"), "other", "left_anti")
+    links = clear.select(F.struct(F.least("field", "other").alias("a"), F.greatest("field", "other").alias("b")).alias("record"), F.col("field").alias("entity")).distinct()
+    family = checkpointed(links.join(record_components(links), "record").select(F.col("entity").alias("field"), F.to_json("component").alias("family")).distinct())
+    torn = together.join(family, "field").join(family.select(F.col("field").alias("other"), F.col("family").alias("f")), "other").where("family = f").select("family").distinct()
+    family = family.join(torn, "family", "left_anti")
+    called = family.join(used, "field").groupBy("family").agg(F.max_by("field", F.struct(F.col("field").isin(*columns).alias("wanted"), "n", "field")).alias("common"))
+    family = family.join(called, "family").select("field", "common")
+    rank = F.struct(F.col("doubtful").isNull().alias("clear"), F.col("field").isin(*columns).alias("wanted"), "n", "field")
+    own = members.join(used, "field").join(ambiguous.withColumn("doubtful", F.lit(1)), "field", "left").groupBy("track").agg(F.max_by("field", rank).alias("field"))
+    names = own.join(family, "field", "left").select("track", F.coalesce("common", "field").alias("name"))
+    return tracks.join(names, "track").select(*FILE, "field", "name")
 
 
 def unified_table(lines: DataFrame, columns: tuple[str, ...] = ("task_id", "instance_id", "patch")) -> DataFrame:
     """All readable lines as one consistent table: series, source_file, file_seq, line_no, the ``columns``, and
-    ``rest``, a map of all other fields, each under the common name of its family, as text or JSON. A line that has
-    two fields of a family keeps the one that stands first and is not null."""
-    fields = top_level(readable_lines(lines)).where("field is not null")
-    names = field_families(fields, schema_changes(lines))
+    ``rest``, a map of all other fields, each under its common name, as text or JSON.
+
+    No value is lost: of two fields of a line with one common name the one that stands first and is not null has it, the
+    other is in ``rest`` under its own name behind a ~. Nulls have no entry in ``rest``.
+    """
+    fields = parsed_fields(lines).where("field is not null")
+    layout = checkpointed(layouts(fields))
+    names = checkpointed(field_names(fields, layout, field_changes(fields, layout), columns))
     row = [*FILE, "line_no"]
-    cells = fields.join(names, "field").groupBy(*row, "name").agg(F.min_by("value", F.when(F.col("type").isNotNull(), F.col("place"))).alias("value"))
-    whole = cells.groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("all"))
+    few = F.broadcast(names) if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else names
+    called = fields.join(few, [*FILE, "field"], "left").withColumn("name", F.coalesce("name", "field"))
+    cells = called.select(*row, F.struct(F.col("type").isNull().alias("empty"), "place", "name", "field", "value").alias("c")).groupBy(*row).agg(F.array_sort(F.collect_list("c")).alias("cells"))
+    filled = F.filter("cells", lambda c: ~c["empty"])
+    keyed = F.transform(filled, lambda c, i: F.struct(F.when(F.exists(F.slice(filled, 1, i), lambda x: x["name"] == c["name"]), F.concat(F.lit("~"), c["field"])).otherwise(c["name"]).alias("key"), c["value"].alias("value")))
+    whole = cells.select(*row, F.map_from_entries(keyed).alias("all"))
     return whole.select(*row, *(F.col("all")[c].alias(c) for c in columns), F.map_filter("all", lambda k, v: ~k.isin(*columns)).alias("rest"))

@@ -45,10 +45,31 @@ def test_hunks(spark):
     assert "@@ -1,2 +1,3 @@ def f" in fixed[0].patch and "@@ -5 +4,0 @@" in fixed[0].patch
 
 
-def test_fuzzy_replace(spark):
+def test_replaced_blocks(spark):
     content = "def f():\n    alpha = compute(1)\n    return alpha\n"
-    assert patches.replace_block(content, "alpha = compute(1)", "beta = 2") == "def f():\n    beta = 2\n    return alpha\n"
-    assert patches.replace_block(content, "alpha = compute( 1)\nreturn alpha", "x = 1\nreturn x") == "def f():\n    x = 1\n    return x\n"
-    assert patches.replace_block(content, "something else entirely", "x") == ""
-    assert patches.replace_block(content, "  ", "x") == content
-    assert value(spark, patches.fuzzy_replace("a", "b", "c"), a="xay", b="a", c="o") == "xoy"
+    rows = [
+        (1, content, "alpha = compute(1)", "beta = 2"), (2, content, "alpha = compute( 1)\nreturn alpha", "  x = 1\n  return x"), (3, content, "something else entirely", "x"), (4, content, "  ", "x"),
+        (5, "xay", "a", "o"), (6, None, "a", "o"), (7, content, None, "o"), (8, "a\nb", "a\nb\nc\nd", "o"), (9, "aa.bb.aa", "aa", None), (10, "one line of text\nother", "one line of texts", "new"),
+    ]
+    df = spark.createDataFrame(rows, "id int, content string, search string, replacement string").selectExpr("*", "'clash' as line", "'clash' as how")
+    got = {r.id: (r.content, r.how) for r in patches.replaced_blocks(df, "id").collect()}
+    assert got == {
+        1: ("def f():\n    beta = 2\n    return alpha\n", "exact"), 2: ("def f():\n    x = 1\n    return x\n", "alike"), 3: ("", "missing"), 4: (content, "blank"),
+        5: ("xoy", "exact"), 6: ("", "missing"), 7: (content, "blank"), 8: ("", "missing"), 9: (".bb.aa", "exact"), 10: ("new\nother", "alike"),
+    }
+    assert patches.replaced_blocks(df.limit(0), "id").count() == 0
+
+
+def test_views_and_contexts(spark):
+    log = "a\nb\nc\ntest FAILED\nd"
+    assert value(spark, text.error_context(F.col("t"), 2), t=log) == "b\nc\ntest FAILED\nd"
+    assert value(spark, text.error_context(F.col("t"), 2), t="a\nb\nc\n") == "b\nc"
+    assert value(spark, text.view(F.col("t"), 1), t="x\ny\nz\n") == "   1 | x\n... [2 more lines truncated]"
+    assert value(spark, text.context_view(F.col("t")), t='  1 | x = 1\n  2 | \"\"\"a\nb\"\"\"\n'.replace('\\"', '"')) == '  1 | x = 1\n  2 | """..."""'
+    assert value(spark, text.test_module(F.col("t")), t="tests/test_a.py::T") == "tests/test_a.py::T"
+    assert value(spark, text.test_module(F.col("t")), t="a.test_b.C.d") == "a.test_b"
+    assert value(spark, text.test_module(F.col("t")), t="test_m (x.test_y.Z)") == "x.test_y"
+    assert value(spark, text.test_target(F.col("t")), t="test_m (a.B)") == "a.B.test_m"
+    assert value(spark, text.json_list(F.col("t")), t='["a", "b"]') == ["a", "b"] and value(spark, text.json_list(F.col("t")), t="no") == []
+    assert value(spark, text.log_summary(F.col("t")), t="x\n1 passed\nFAILED y\n") == "1 passed\n---\nFAILED y"
+    assert value(spark, text.log_summary(F.col("t")), t="x" * 1200) == "x" * 1000
