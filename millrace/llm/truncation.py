@@ -17,22 +17,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.splits import normal_repo, repository_names
+from millrace.session import checkpointed
 
 #: Values whose endings the model of endings is fitted on, at most (about); each is used whole and cut.
 TRAINING_VALUES = 30_000
-#: Prior probability that a value which stands at no limit lost its end in transfer.
-TRANSFER_RATE = 0.02
+#: Where the fit of the share of values that lost their end in transfer begins, and in how many rounds.
+TRANSFER_RATE, ROUNDS = 0.02, 8
 #: A length alone never makes a cut more probable than this: complete values may have any length.
 SURE = 0.9
-#: A length is a candidate limit if so many values of a field have it, and so many times more than its neighbours.
-LIMIT_COUNT, LIMIT_EXCESS = 8, 6.0
+#: A length is a candidate limit if the number of values that have it is so many times the mean of the lengths around, and
+#: so many standard deviations of a count above it.
+LIMIT_EXCESS, LIMIT_DEVIATIONS = 6.0, 8.0
+#: Width of the bins of lengths that are the surroundings of a length, and how many of them on either side.
+BIN, AROUND = 0.01, 5
+#: So many limits of sources are broadcast at most; beyond that the values are shuffled to them.
+BROADCAST_LIMITS = 500_000
 #: Weight, in observations, of the pooled distribution in the smoothed counts of endings.
 SMOOTHING = 2.0
-#: Values taken as whole with larger odds of a cut under one model are left out of the next.
+#: Values taken as whole with larger odds of a cut under one model are left out of the next. Weighing them by their probability
+#: instead (expectation and maximisation) was tried and lost 8 to 12 per cent of the true cases.
 DOUBTFUL = 1.5
 #: No single feature speaks for or against a cut with more than this many log odds.
 STRONGEST = 8.0
-FEATURES = ["shape", "piece", "joint", "declared", "open"]
+FEATURES = ["shape", "piece", "joint", "declared", "open", "listed"]
 #: Features that mean the same in all kinds of values and are counted over all of them.
 COMMON = {"declared", "open"}
 
@@ -75,10 +82,11 @@ def hunk_state(value: Column) -> Column:
 def ending_features(value: Column) -> dict[str, Column]:
     """What the end of a value looks like.
 
-    shape: the pattern of the last line, words as a, digits as 9, closed strings as S, runs of a sign once;
+    shape: the pattern of the last line, words as a, digits as 9, closed strings as S, runs of a sign once, by its hash;
     piece: the last word, or part of a joined word, or sign, and whether a line break follows; joint: both;
-    declared: whether as many lines are there as a diff's last hunk or the first line ("12 files", "(30 lines)")
-    declares; open: quotes and brackets of the last line that are open.
+    declared: whether as many lines are there as a diff's last hunk declares; listed: how the lines below the first stand to
+    the number it begins with or has in brackets ("12 of anything"), which means something only in kinds of values where
+    it usually agrees; open: quotes and brackets of the last line that are open.
     """
     body = F.regexp_replace(value, r"\r?\n$", "")
     broken = F.when(value.endswith("\n"), "n").otherwise("-")
@@ -89,42 +97,60 @@ def ending_features(value: Column) -> dict[str, Column]:
     piece = F.lower(F.regexp_extract(last, r"(\p{Lu}?[\p{Ll}\p{Lo}]+|\p{Lu}+|[0-9]+|.)$", 1))
     piece = F.when(piece.rlike("^[0-9]+$"), "9").otherwise(piece)
     first = F.substring_index(value, "\n", 1)
-    declares = F.regexp_extract(first, r"(?:^|\()(\d+) (?:files?|matches|lines)\b", 1).try_cast("int")
+    declares = F.regexp_extract(first, r"(?:^|\()(\d+) \p{L}+", 1).try_cast("int")
     remarks = F.when(last.rlike(r"^(?:…|\.\.\.|\[).*\d"), 1).otherwise(0)
-    below = F.size(F.split(body, "\n")) - 1 - remarks
-    listed = F.when(below < declares, "short").when(below > declares, "over").otherwise("exact")
+    below = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) - remarks
+    listed = F.when(declares.isNull(), "none").when(below < declares, "short").when(below > declares, "over").otherwise("exact")
     is_diff = value.rlike(r"(?m)^(?:diff --git |--- |@@ -\d)")
-    declared = F.when(is_diff, F.when(value.rlike(r"(?m)^@@"), hunk_state(value)).otherwise("no hunk")).when(declares.isNotNull(), listed).otherwise("none")
+    declared = F.when(is_diff, F.when(value.rlike(r"(?m)^@@"), hunk_state(value)).otherwise("no hunk")).otherwise("none")
     quotes = F.length(last) - F.length(F.replace(last, F.lit('"'), F.lit("")))
     opened = F.length(F.regexp_replace(last, r"[^(\[{]", "")) - F.length(F.regexp_replace(last, r"[^)\]}]", ""))
-    shape, piece = F.substring(shape, -60, 60), F.concat(broken, piece)
+    shape, piece = F.hex(F.xxhash64(shape)), F.concat(broken, piece)
     return {
         "shape": shape,
         "piece": piece,
         "joint": F.concat_ws(" | ", shape, piece),
         "declared": declared,
         "open": F.concat_ws(",", (quotes % 2).cast("string"), F.signum(opened).cast("int").cast("string")),
+        "listed": listed,
     }
 
 
-def lengths(values: DataFrame) -> DataFrame:
-    """Values with ``chars`` and ``bytes``, the units in which a limit may count, instead of the text."""
-    return values.withColumns({"chars": F.length("value"), "bytes": F.octet_length("value")})
+def described(values: DataFrame, total: int) -> DataFrame:
+    """Values with ``chars`` and ``bytes``, the units in which a limit may count, their ``digest``, the features of their ends, and, for a sample
+    of about TRAINING_VALUES of ``total``, those of the value cut at a random place as ``cut``; instead of the text. This is
+    the one pass over the texts; all else reads its narrow rows."""
+    rate = max(1, min(1_000_000, round(1_000_000 * TRAINING_VALUES / max(total, 1))))
+    chosen = F.pmod(F.xxhash64("table_name", "row_id", "field"), F.lit(1_000_000)) < rate
+    share = F.pmod(F.xxhash64("row_id", "field", F.lit("at")), F.lit(9_500)) / 10_000 + 0.05
+    at = F.greatest(F.floor(share * F.length("value")), F.lit(1)).cast("int")
+    # A cut between the bytes of one character leaves a replacement character; one in twenty is made to.
+    split = F.when(F.pmod(F.xxhash64("row_id", F.lit("split")), F.lit(20)) == 0, "\ufffd").otherwise("")
+    rows = values.withColumn("_cut", F.when(chosen, F.concat(F.substring(F.col("value"), F.lit(1), at), split)))
+    half = F.pmod(F.xxhash64("row_id", "field", F.lit("half")), F.lit(2)) == 0
+    own = F.struct(*(c.alias(k) for k, c in ending_features(F.col("value")).items()))
+    cut = F.when(F.col("_cut").isNotNull(), F.struct(*(c.alias(k) for k, c in ending_features(F.col("_cut")).items())))
+    return rows.select("table_name", "row_id", "field", "kind", "source", F.length("value").alias("chars"), F.octet_length("value").alias("bytes"), F.xxhash64("value").alias("digest"), half.alias("half"), own.alias("whole"), cut.alias("cut"))
 
 
 def candidate_limits(sized: DataFrame) -> DataFrame:
-    """(kind, unit, bound, n) of lengths that far more values of a kind have than the lengths around: at least
-    LIMIT_COUNT, and LIMIT_EXCESS times the mean of the 5 per cent of lengths on either side."""
-    units = sized.select("kind", F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("unit", "bound"))
+    """(kind, unit, bound, n) of lengths that far more values of a kind have than the lengths around, at any length and
+    any number of values. Equal values count once, since a message that is repeated speaks for no limit.
+
+    What is usual around a length is the mean count of the lengths in the bins on either side, each BIN of the length wide
+    (a bin of short lengths has less than one length in it; those around are then at least ten). Bins, not lengths, meet
+    each other, so the work is in proportion to the different lengths.
+    """
+    values = sized.select("kind", "digest", "chars", "bytes").distinct()
+    units = values.select("kind", F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("unit", "bound"))
     counts = units.groupBy("kind", "unit", "bound").agg(F.count(F.lit(1)).alias("n"))
-    peaks = counts.where(f"n >= {LIMIT_COUNT} and bound >= 200").alias("p")
-    around = counts.alias("c")
-    near = peaks.join(
-        around,
-        (F.col("p.kind") == F.col("c.kind")) & (F.col("p.unit") == F.col("c.unit")) & (F.abs(F.col("p.bound") - F.col("c.bound")) <= 0.05 * F.col("p.bound")) & (F.col("p.bound") != F.col("c.bound")),
-        "left",
-    ).groupBy("p.kind", "p.unit", "p.bound").agg(F.first("p.n").alias("n"), F.coalesce(F.sum("c.n"), F.lit(0)).alias("others"))
-    found = near.where(F.col("n") > LIMIT_EXCESS * F.greatest(F.col("others") / (0.1 * F.col("bound")), F.lit(0.2)))
+    place = F.when(F.col("bound") <= 1 / BIN, F.col("bound")).otherwise(F.floor(1 / BIN + F.log(F.col("bound") * BIN) / BIN))
+    counts = counts.withColumn("bin", place.cast("bigint"))
+    sums = counts.groupBy("kind", "unit", "bin").agg(F.sum("n").alias("all"))
+    near = sums.select("kind", "unit", "all", F.explode(F.sequence(F.col("bin") - AROUND, F.col("bin") + AROUND)).alias("bin")).groupBy("kind", "unit", "bin").agg(F.sum("all").alias("all"))
+    width = F.greatest(2 * AROUND * BIN * F.col("bound"), F.lit(2.0 * AROUND))
+    usual = F.greatest((F.col("all") - F.col("n")) / width, F.lit(0.1))
+    found = counts.join(near, ["kind", "unit", "bin"]).where(F.col("n") > F.greatest(LIMIT_EXCESS * usual, usual + LIMIT_DEVIATIONS * F.sqrt(usual)))
     # A text of plain ASCII has the same length in both units; the unit with more values is the limit's.
     best = found.groupBy("kind", "bound").agg(F.max_by("unit", F.struct("n", "unit")).alias("unit"), F.max("n").alias("n"))
     return best.select("kind", "unit", "bound", "n")
@@ -160,14 +186,17 @@ def fit_censored(rows: pd.DataFrame) -> pd.DataFrame:
         # Where a limit holds, nothing is longer; what is longer speaks against the limit.
         holds = max(0.0, 1 - r.above / max(beyond * (n + c), 1e-9)) if c else 0.0
         censored = holds * max(beyond, density)
-        out.append(min(SURE, max(TRANSFER_RATE, censored / (censored + density))) if c > 1 else 0.1)
+        # One value alone may stand there by chance; then it counts how many of the kind's sources have the limit.
+        out.append(min(SURE, max(TRANSFER_RATE, (1.0 if c > 1 else r.shared) * censored / (censored + density))))
     return rows.assign(posterior=out)
 
 
 def censoring_posterior(sized: DataFrame, limits: DataFrame) -> DataFrame:
     """(kind, source, unit, bound, posterior) for each source and candidate limit of its kind that any of its values stands at."""
     length = F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes"))
-    both = sized.select("kind", "source", "chars", "bytes").join(F.broadcast(limits.select("kind", "unit", "bound")), "kind").withColumn("len", length)
+    bounds = limits.select("kind", "unit", "bound")
+    few = F.broadcast(bounds) if bounds.limit(BROADCAST_LIMITS + 1).count() <= BROADCAST_LIMITS else bounds
+    both = sized.select("kind", "source", "chars", "bytes").join(few, "kind").withColumn("len", length)
     logs = F.when(F.col("len") != F.col("bound"), F.log("len"))
     stats = both.groupBy("kind", "source", "unit", "bound").agg(
         F.count_if(F.col("len") != F.col("bound")).cast("double").alias("n"),
@@ -176,7 +205,10 @@ def censoring_posterior(sized: DataFrame, limits: DataFrame) -> DataFrame:
         F.count_if(F.col("len") == F.col("bound")).cast("double").alias("at"),
         F.count_if(F.col("len") > F.col("bound") * 1.02).cast("double").alias("above"),
     ).where("at > 0")
-    schema = "kind string, source string, unit string, bound int, n double, s1 double, s2 double, at double, above double, posterior double"
+    # The share of the sources with any value at the limit that have several there.
+    sharing = stats.groupBy("kind", "unit", "bound").agg((F.count_if(F.col("at") > 1) / F.count(F.lit(1))).alias("shared"))
+    stats = stats.join(sharing, ["kind", "unit", "bound"]).select("kind", "source", "unit", "bound", "n", "s1", "s2", "at", "above", "shared")
+    schema = "kind string, source string, unit string, bound int, n double, s1 double, s2 double, at double, above double, shared double, posterior double"
     fit = stats.mapInPandas(lambda parts: (fit_censored(p) for p in parts), schema)
     return fit.select("kind", "source", "unit", "bound", "posterior")
 
@@ -251,20 +283,11 @@ def logistic_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.nd
     return w
 
 
-def ending_examples(values: DataFrame, total: int) -> DataFrame:
-    """Features of a bounded sample of ``values``, whole and cut at a random place, with ``cut`` 1 or 0. Values that
-    stand at a candidate limit must be left out before, for most of them are cut already."""
-    rate = max(1, min(1_000_000, round(1_000_000 * TRAINING_VALUES / max(total, 1))))
-    chosen = values.where(F.pmod(F.xxhash64("table_name", "row_id", "field"), F.lit(1_000_000)) < rate)
-    share = F.pmod(F.xxhash64("row_id", "field", F.lit("at")), F.lit(9_500)) / 10_000 + 0.05
-    at = F.greatest(F.floor(share * F.length("value")), F.lit(1)).cast("int")
-    whole = F.struct(F.lit(0).alias("cut"), F.col("value").alias("text"))
-    # A cut between the bytes of one character leaves a replacement character; one in twenty is made to.
-    split = F.when(F.pmod(F.xxhash64("row_id", F.lit("split")), F.lit(20)) == 0, "\ufffd").otherwise("")
-    cut = F.struct(F.lit(1).alias("cut"), F.concat(F.substring(F.col("value"), F.lit(1), at), split).alias("text"))
-    rows = chosen.select("table_name", "row_id", "field", "kind", F.explode(F.array(whole, cut)).alias("e")).select("table_name", "row_id", "field", "kind", "e.cut", "e.text")
-    half = F.pmod(F.xxhash64("row_id", "field", F.lit("half")), F.lit(2)) == 0
-    return rows.select("kind", "cut", half.alias("half"), *(c.alias(k) for k, c in ending_features(F.col("text")).items()))
+def ending_examples(rows: DataFrame) -> DataFrame:
+    """The sample in ``described``, whole and cut, with ``cut`` 1 or 0. Values that stand at a candidate limit must be left
+    out before, for most of them are cut already."""
+    both = F.explode(F.array(F.struct(F.lit(0).alias("is_cut"), F.col("whole").alias("f")), F.struct(F.lit(1).alias("is_cut"), F.col("cut").alias("f")))).alias("e")
+    return rows.where("cut is not null").select("kind", "half", both).select("kind", F.col("e.is_cut").alias("cut"), "half", *(F.col(f"e.f.{k}").alias(k) for k in FEATURES))
 
 
 def fit_endings(examples: DataFrame) -> EndingModel:
@@ -272,7 +295,7 @@ def fit_endings(examples: DataFrame) -> EndingModel:
     one model finds are left out of the next."""
     sample = examples.toPandas()
     model = EndingModel(sample)
-    for _ in range(2):
+    for _ in range(3):
         odds = np.array([model.score(k, v) for k, *v in zip(sample["kind"], *(sample[f] for f in FEATURES))])
         model = EndingModel(sample[(sample["cut"] == 1) | (odds < DOUBTFUL)])
     return model
@@ -280,36 +303,45 @@ def fit_endings(examples: DataFrame) -> EndingModel:
 
 def ending_odds(model: EndingModel) -> Column:
     @F.pandas_udf("double")
-    def odds(kind: pd.Series, shape: pd.Series, piece: pd.Series, joint: pd.Series, declared: pd.Series, open_: pd.Series) -> pd.Series:
-        return pd.Series([model.score(k, v) for k, *v in zip(kind, shape, piece, joint, declared, open_)], dtype="float64")
+    def odds(kind: pd.Series, *features: pd.Series) -> pd.Series:
+        return pd.Series([model.score(k, v) for k, *v in zip(kind, *features)], dtype="float64")
+
+    return odds("kind", *(F.col(f"whole.{f}") for f in FEATURES))
 
-    return odds("kind", *FEATURES)
+
+def transfer_rate(odds: DataFrame, begin: float = TRANSFER_RATE) -> float:
+    """The share of values that lost their end though they stand at no limit, by maximum likelihood from the ``odds`` of
+    their endings: expectation and maximisation, each round one aggregate."""
+    rate = begin
+    for _ in range(ROUNDS):
+        prior = math.log(rate / (1 - rate))
+        found = odds.agg(F.avg(1 / (1 + F.exp(-(F.col("odds") + prior))))).first()[0]
+        if found is None:
+            break
+        rate = min(max(found, 1e-4), 0.5)
+    return rate
 
 
 def cut_values(values: DataFrame) -> DataFrame:
     """(table_name, row_id, field, kind, source, odds) of every value of ``text_values``; ``odds`` are the log odds
     that it lost its end. Rows repeated as a whole come out once."""
-    sized = lengths(values)
-    total = values.count()
-    limits = candidate_limits(sized).collect()  # a few lengths per kind, bounded by the kinds times 1 / 0.05
-    spark = values.sparkSession
-    limit_rows = spark.createDataFrame([tuple(r) for r in limits], "kind string, unit string, bound int, n long")
-    posterior = {(r["kind"], r["source"], r["unit"], r["bound"]): r["posterior"] for r in censoring_posterior(sized, limit_rows).collect()} if limits else {}
-    edges = spark.createDataFrame([(k, s, u, b, p) for (k, s, u, b), p in posterior.items()], "kind string, source string, unit string, bound int, posterior double")
+    total = values.select("table_name", "row_id", "field").count()
+    rows = checkpointed(described(values, total))
+    limits = checkpointed(candidate_limits(rows))
+    edges = checkpointed(censoring_posterior(rows, limits))
     bounds = edges.groupBy("kind", "source").agg(F.collect_list(F.struct("unit", "bound", "posterior")).alias("edges"))
-    standing = sized.join(F.broadcast(bounds) if len(posterior) <= 500_000 else bounds, ["kind", "source"], "left")
+    standing = rows.join(F.broadcast(bounds) if edges.count() <= BROADCAST_LIMITS else bounds, ["kind", "source"], "left")
     reached = F.array_max(
         F.transform(
             F.col("edges"),
             lambda e: F.when(F.when(e["unit"] == "bytes", F.col("bytes").between(e["bound"] - 3, e["bound"] + 2)).otherwise(F.col("chars") == e["bound"]), e["posterior"]),
         )
     )
-    standing = standing.withColumn("posterior", reached)
-    featured = standing.select("table_name", "row_id", "field", "kind", "source", "posterior", *(c.alias(k) for k, c in ending_features(F.col("value")).items()))
-    prior = F.coalesce("posterior", F.lit(TRANSFER_RATE))
-    base = F.log(prior / (1 - prior))
-    model = fit_endings(ending_examples(standing.where("posterior is null"), total))
-    return featured.select("table_name", "row_id", "field", "kind", "source", (base + ending_odds(model)).alias("odds")).distinct()
+    standing = standing.withColumn("posterior", reached).drop("edges")
+    model = fit_endings(ending_examples(standing.where("posterior is null")))
+    scored = checkpointed(standing.select("table_name", "row_id", "field", "kind", "source", "posterior", ending_odds(model).alias("odds")))
+    prior = F.coalesce("posterior", F.lit(transfer_rate(scored.where("posterior is null"))))
+    return scored.select("table_name", "row_id", "field", "kind", "source", (F.log(prior / (1 - prior)) + F.col("odds")).alias("odds")).distinct()
 
 
 def cut_rates(cut: DataFrame) -> DataFrame:
