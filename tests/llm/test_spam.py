@@ -1,3 +1,5 @@
+import pytest
+
 from millrace.llm import spam
 
 SPAM = [
@@ -15,16 +17,38 @@ CONTENT = [
 ]
 
 
-def test_kinds_of_pages(spark):
+@pytest.fixture(scope="module")
+def reference(spark, data):
+    """Documents from which the words of prose are learned; the pages of a test are too few for it."""
+    return spark.read.parquet(f"{data}/../sf0.01/documents.parquet").select("doc_id", "text")
+
+
+def test_kinds_of_pages(spark, reference):
     rows = [(i, t, "clash") for i, t in enumerate(SPAM)] + [(100 + i, t, "clash") for i, t in enumerate(CONTENT)] + [(200, None, ""), (201, "", ""), (202, " \n", ""), (None, SPAM[0], "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, uid string")
-    got = {r.doc_id for r in spam.spam_pages(df.union(df)).collect()}
+    got = {r.doc_id for r in spam.spam_pages(df.union(df), reference).collect()}
     assert got == set(range(len(SPAM))), ([SPAM[i] for i in range(len(SPAM)) if i not in got], [CONTENT[i - 100] for i in got if i >= 100])
     assert spam.spam_pages(df.limit(0)).count() == 0
 
 
-def test_by_characters(spark):
+def test_by_characters(spark, reference):
     words, sentence = SPAM[0], CONTENT[0]
     df = spark.createDataFrame([(1, words + "\n" + sentence[:40] + "."), (2, words[:40] + "\n" + sentence + sentence), (3, (words + "\n") * 300)], "doc_id long, text string")
-    share = {r.doc_id: r.share for r in spam.spam_shares(df).collect()}
+    share = {r.doc_id: r.share for r in spam.spam_shares(df, reference).collect()}
     assert share[1] > 0.5 and share[2] < 0.4 and share[3] > 0.99
+
+
+UNSEEN = [
+    "Nowa wersja programu poprawia odczyt danych z pliku, ale niekt\u00f3rzy u\u017cytkownicy nadal widz\u0105 b\u0142\u0119dne wyniki przy du\u017cych zbiorach. Zesp\u00f3\u0142 obieca\u0142 kolejn\u0105 poprawk\u0119 przed ko\u0144cem miesi\u0105ca.",
+    "Yeni s\u00fcr\u00fcm dosyadan veri okumay\u0131 d\u00fczeltiyor ancak baz\u0131 kullan\u0131c\u0131lar b\u00fcy\u00fck k\u00fcmelerde h\u00e2l\u00e2 yanl\u0131\u015f sonu\u00e7lar g\u00f6r\u00fcyor. Ekip ay sonundan \u00f6nce yeni bir d\u00fczeltme s\u00f6z\u00fc verdi.",
+    "\uc0c8 \ubc84\uc804\uc740 \ud30c\uc77c\uc5d0\uc11c \ub370\uc774\ud130\ub97c \uc77d\ub294 \ubb38\uc81c\ub97c \uace0\ucce4\uc9c0\ub9cc \uc77c\ubd80 \uc0ac\uc6a9\uc790\ub294 \uc5ec\uc804\ud788 \uc798\ubabb\ub41c \uacb0\uacfc\ub97c \ubcf4\uace0 \uc788\ub2e4. \uac1c\ubc1c\ud300\uc740 \uc774\ub2ec \ub9d0\uae4c\uc9c0 \ub2e4\ub978 \uc218\uc815\uc744 \uc57d\uc18d\ud588\ub2e4.",
+    "\u65b0\u7248\u672c\u4fee\u590d\u4e86\u4ece\u6587\u4ef6\u8bfb\u53d6\u6570\u636e\u7684\u95ee\u9898\uff0c\u4f46\u4e00\u4e9b\u7528\u6237\u5728\u5904\u7406\u5927\u578b\u6570\u636e\u96c6\u65f6\u4ecd\u7136\u4f1a\u770b\u5230\u9519\u8bef\u7684\u7ed3\u679c\u3002\u56e2\u961f\u627f\u8bfa\u5728\u6708\u5e95\u4e4b\u524d\u53d1\u5e03\u53e6\u4e00\u4e2a\u4fee\u6b63\u3002",
+    "De nieuwe versie herstelt het lezen van gegevens uit een bestand, maar sommige gebruikers zien bij grote verzamelingen nog steeds verkeerde uitkomsten. De ploeg heeft v\u00f3\u00f3r het einde van de maand nog een verbetering beloofd.",
+    "La nuova versione corregge la lettura dei dati da un file, ma alcuni utenti vedono ancora risultati sbagliati con raccolte grandi. La squadra ha promesso un'altra correzione prima della fine del mese.",
+]
+
+
+def test_prose_of_unseen_languages(spark, reference):
+    df = spark.createDataFrame(list(enumerate(UNSEEN)), "doc_id long, text string")
+    assert all(r.share < 0.2 for r in spam.spam_shares(df, reference).collect())
+    assert all(r.share < 0.2 for r in spam.spam_shares(df).collect())

@@ -11,6 +11,7 @@ CONTENT = [
 ]
 
 
-def test_cycles_of_keywords(spark):
+def test_cycles_of_keywords(spark, data):
+    reference = spark.read.parquet(f"{data}/../sf0.01/documents.parquet").select("doc_id", "text")
     df = spark.createDataFrame(list(enumerate(SPAM + CONTENT)), "doc_id long, text string")
-    assert {r.doc_id for r in spam.spam_pages(df).collect()} == set(range(len(SPAM)))
+    assert {r.doc_id for r in spam.spam_pages(df, reference).collect()} == set(range(len(SPAM)))
