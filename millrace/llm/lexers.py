@@ -8,6 +8,8 @@ object. Characters that start no token give the kind ERR. The first token is BOF
 from __future__ import annotations
 
 import re
+import zlib
+from datetime import datetime
 from itertools import product
 
 LANGUAGES = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "json": "json", "toml": "toml"}
@@ -32,6 +34,11 @@ PY = re.compile(
 )
 
 
+# Words that begin a statement only if a name, a value or a bracket follows them, apart.
+PY_SOFT = {"match", "case", "type"}
+PY_OBJECT = re.compile(r"[ \t]+(?!(?:and|or|in|is|if|else|not in)\b)(?:[\w\"'\[{*]|[-~(](?=.*:))")
+
+
 def lex_python(source: str) -> list[Token]:
     """Second of a token: the indent if it is the first of a logical line, else -1. NL ends a logical line."""
     out, depth, fresh, column, at, end = [("BOF", -1)], 0, True, 0, 0, len(source)
@@ -54,11 +61,15 @@ def lex_python(source: str) -> list[Token]:
         if group == "str":
             quoted = text.lstrip("rRbBuUfFtT")
             inside = quoted.replace("{{", "").replace("}}", "")
-            kind = "ERR" if "f" in text[: len(text) - len(quoted)].lower() and inside.count("{") != inside.count("}") else "str"
+            prefix = text[: len(text) - len(quoted)].lower()
+            plain = not re.search(r"[\"'\\]", inside.strip("\"'"))
+            kind = "ERR" if ("f" in prefix and plain and quoted.count("{") != quoted.count("}") and inside.count("{") != inside.count("}")) or ("b" in prefix and not text.isascii()) else "str"
         elif group == "num":
             kind = "num"
         elif group == "name":
             kind = text if text in PY_KEYWORDS else "id"
+            if fresh and text in PY_SOFT and PY_OBJECT.match(source, at):
+                kind = "soft"
         else:
             kind = text
             if text in "([{":
@@ -100,10 +111,14 @@ def python_pairs() -> set[tuple[str, str, str]]:
     allow(every, binary | {":=", "=", "if", "else", "in", "await", "not", "-", "+", "~", "and", "or"}, starts | {"yield"})
     allow(every, {"is"}, starts)
     allow(every, {"not"}, {"in"})
-    allow(flat, assigns, {"*"})
+    allow(flat, assigns, starts | {"*", "yield"})
+    allow(["("], {"/"}, {","})
+    allow(flat, {"soft"}, starts | {"*"})
+    allow(flat, {"BOF", "NL", ";", ":"}, {"soft"})
+    allow(flat, {"id"}, {"["})
     allow(inside, {"(", "[", "{", ","}, starts | {"*", "**", "yield", "/"})
     allow(inside, {"*"}, {","})
-    allow(flat, {","}, starts | {"*", "NL", "="})
+    allow(flat, {","}, starts | {"*", "**", "NL", "="})
     allow(every, {"*", "**"}, starts)
     allow(every, {"lambda"}, {"id", ":", "*", "**"})
     allow(every, {":"}, starts | {"*"})
@@ -133,21 +148,38 @@ def python_pairs() -> set[tuple[str, str, str]]:
     return pairs
 
 
-# One alternative for each form of a statement, over the kinds of its tokens with the insides of brackets left out.
+# One alternative for each form of a statement, over the kinds of its tokens with the insides of brackets left out. What is
+# assigned to or deleted is a name, a bracket of such, or a chain that ends in an attribute or a subscript.
+PY_CHAIN = r"(?:id|str|\(|\[|\{)(?: \. id| \(| \[)*(?: \. id| \[)"
+PY_TARGET = rf"(?:\* )?(?:{PY_CHAIN}|id|\(|\[)"
+PY_TARGETS = rf"{PY_TARGET}(?: , {PY_TARGET})*(?: ,)?"
+PY_EXPRESSION = r"(?!(?:async|def|class|if|elif|while|with|for|try|else|finally|except|import|from|return|raise|assert|del|global|nonlocal|pass|break|continue|@)(?: |$))(?:(?! (?:;|=|%s) |:).)+" % "|".join(re.escape(x) for x in "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split())
+PY_LAMBDA = r"(?:.* )?lambda(?: .*)?"
 PY_STATEMENT = "^(?:" + "|".join(
     [
-        r"(?:async )?def id \((?: -> \S.*?)? :(?: .+)?",
-        r"class id(?: \()? :(?: .+)?",
-        r"(?:if|elif|while) \S.* :(?: .+)?",
-        r"(?:async )?with \S.* :(?: .+)?",
-        r"(?:async )?for (?:(?!in ).)+in \S.* :(?: .+)?",
+        r"(?:async )?def id(?: \[)? \((?: -> \S.*?)? :(?: .+)?",
+        r"class id(?: \[)?(?: \()? :(?: .+)?",
+        r"(?:if|elif|while) (?:(?! = )(?!lambda).)+ :(?: .+)?",
+        r"(?:if|elif|while|return|raise|assert|yield|await|@) .*lambda .*",
+        r"(?:async )?with (?:(?! = ).)+ :(?: .+)?",
+        rf"(?:async )?for {PY_TARGETS} in \S.* :(?: .+)?",
         r"(?:try|else|finally) :(?: .+)?",
-        r"except(?: \S.*)? :(?: .+)?",
+        r"except(?: (?:\* )?(?:(?! , ).)+?(?: as id)?)? :(?: .+)?",
         r"import id(?: \. id)*(?: as id)?(?: , id(?: \. id)*(?: as id)?)*",
         r"from (?:\. |\.\.\. )*(?:id (?:\. id )*)?import (?:\(|\*|id(?: as id)?(?: , id(?: as id)?)*)",
-        r"(?:return|raise|assert|del|global|nonlocal|yield|@|await|lambda|not)(?: .*[^:])?",
+        rf"del {PY_TARGETS}",
+        r"raise(?: (?:(?! [,=] ).)*[^:])?",
+        r"(?:global|nonlocal) id(?: , id)*",
+        r"(?:return|assert|yield|@|await|not)(?: (?:(?! = ).)*[^:])?",
         r"(?:pass|break|continue)",
-        r"(?!async|def|class|if|elif|while|with|for|try|else|finally|except|import|from)(?:(?! ; ).)*[^:]",
+        rf"(?:{PY_TARGETS} = )+(?:yield(?: .+)?|{PY_EXPRESSION}|{PY_LAMBDA})",
+        rf"(?:{PY_CHAIN}|id) (?:{'|'.join(re.escape(x) for x in '+= -= *= /= //= %= @= &= |= ^= >>= <<= **='.split())}) (?:yield(?: .+)?|{PY_EXPRESSION}|{PY_LAMBDA})",
+        rf"(?:{PY_CHAIN}|id|\() : {PY_EXPRESSION}(?: = (?:yield(?: .+)?|{PY_EXPRESSION}|{PY_LAMBDA}))?",
+        rf"{PY_EXPRESSION}",
+        rf"{PY_LAMBDA}",
+        # soft keywords
+        r"soft .+ :(?: .+)?",
+        r"soft id(?: \[)? = .+",
     ]
 ) + ")$"
 
@@ -205,7 +237,8 @@ TOML = re.compile(
 
 
 def lex_toml(source: str) -> list[Token]:
-    """``h[`` and ``h]`` are brackets of a table's header; line ends inside of brackets are left out."""
+    """Second of a token: the hash of a key's name, else -1. ``h[`` and ``h]`` are brackets of a table's header; line ends
+    inside of brackets are left out."""
     out, opened, at, value = [("BOF", -1)], [], 0, False
     while at < len(source):
         m = TOML.match(source, at)
@@ -213,9 +246,11 @@ def lex_toml(source: str) -> list[Token]:
             out.append(("ERR", -1))
             break
         group, at = m.lastgroup, m.end()
-        kind = m.group() if group == "op" else group
+        kind, value_of = m.group() if group == "op" else group, -1
         if group == "skip" or (group == "line" and "[" in opened):
             continue
+        if group == "val" and value and re.match(r"\d{4}-|\d\d:", m.group()) and not real_time(m.group()):
+            kind = "ERR"
         last = out[-1][0]
         if group == "line":
             kind, value = "NL", False
@@ -227,14 +262,27 @@ def lex_toml(source: str) -> list[Token]:
             kind = "h]"
         elif kind in ("str", "val") and (not value or (opened and opened[-1] == "{" and last in "{,.")) and (kind == "str" or re.fullmatch("[A-Za-z0-9_-]+", m.group())):
             kind = "key"
+        if kind == "key":
+            name = m.group()
+            name = name[1:-1] if name[0] in "\"'" and "\\" not in name else name
+            value_of = zlib.crc32(name.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
         if kind in ("[", "{", "h["):
             opened.append(kind)
         elif kind in ("]", "}", "h]") and opened:
             opened.pop()
-        out.append((kind, -1))
+        out.append((kind, value_of))
     return [*out, ("NL", -1), ("EOF", -1)]
 
 
+def real_time(text: str) -> bool:
+    """Whether a date, a time or both, of the right form, are real ones; the second 60 is."""
+    try:
+        datetime.fromisoformat(re.sub(r":60(?=\D|$)", ":59", text if "-" in text[:5] else f"2000-01-01T{text}").replace("t", "T").replace("z", "Z"))
+    except ValueError:
+        return False
+    return True
+
+
 def toml_pairs() -> set[tuple[str, str, str]]:
     ends, starts = {"text", "str", "val", "]", "}"}, {"text", "str", "val", "[", "{"}
     pairs: set = set(product([""], {"BOF", "NL"}, {"NL", "EOF", "key", "h["})) | set(product([""], ends | {"h]"}, {"NL"}))
@@ -260,7 +308,9 @@ JS = re.compile(
     re.X,
 )
 JS_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[a-z]*")
-JS_ENDS = {"id", "num", "str", "tpl", "re", ")", "]", "}o", "}e", "}k", "true", "false", "null", "this", "super", "++", "--", "cid", "did", "prop"}
+JS_NEXT, JS_BEHIND = re.compile(r"[ \t]*(.?)"), re.compile(r"\s*(\S?)")
+JS_ASYNC, JS_PARAMETERS, JS_ARROW = re.compile(r"[ \t]*(?:function\b|[\w$]+[ \t]*=>)"), re.compile(r"[ \t]*\("), re.compile(r"[ \t]*=>")
+JS_ENDS = {"id", "oprop", "num", "str", "tpl", "re", ")", "]", "}o", "}e", "}k", "true", "false", "null", "this", "super", "++", "--", "cid", "did", "prop"}
 JS_BINARY = set("+ - * / % ** == != === !== < > <= >= << >> >>> & | ^ && || ?? instanceof in".split())
 JS_ASSIGN = set("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
 
@@ -293,6 +343,28 @@ def template_end(source: str, at: int) -> int:
     return -1
 
 
+def bracket_end(source: str, at: int) -> int:
+    """Where the bracket that opens at ``at`` closes, with brackets, strings and templates nested in it; -1 if it doesn't."""
+    depth = 0
+    while at < len(source):
+        if source[at] == "`":
+            at = template_end(source, at)
+            if at < 0:
+                return -1
+            continue
+        m = JS.match(source, at)
+        if not m:
+            return -1
+        at = m.end()
+        if m.lastgroup == "op" and m.group() in "([{":
+            depth += 1
+        elif m.lastgroup == "op" and m.group() in ")]}":
+            depth -= 1
+            if not depth:
+                return at
+    return -1
+
+
 def lex_javascript(source: str) -> list[Token]:
     """Second of a token: 1 after a line break, else 0.
 
@@ -305,7 +377,7 @@ def lex_javascript(source: str) -> list[Token]:
     out: list[Token] = [("BOF", 0)]
     opened: list[str] = []
     ternary, cases = [0], [False]
-    at, broken, function, klass, member = 0, 0, "", False, False
+    at, broken, function, klass = 0, 0, "", -1
     if source.startswith("#!"):
         at = len(source.split("\n", 1)[0])
     while at < len(source):
@@ -336,18 +408,18 @@ def lex_javascript(source: str) -> list[Token]:
         kind = group
         if group == "name":
             if last in (".", "?."):
-                kind = "prop"
+                kind = "prop" if last == "." else "oprop"
             elif around == "{k" and last in ("{k", "}f", ";", "mod", "*", "mid") or (around == "{k" and broken):
-                after = source[at : at + 40].lstrip(" \t")[:1]
+                after = JS_NEXT.match(source, at).group(1)
                 kind = "mod" if text in ("static", "async", "get", "set") and after not in ("(", "=", ";", "}", "\n", "\r", "") else "mid"
             elif text.startswith("#"):
                 kind = "id"
             elif text in JS_KEYWORDS:
                 kind = text
-                if around == "{o" and last in ("{o", ",") and source[at : at + 20].lstrip()[:1] in (":", "("):
+                if around == "{o" and last in ("{o", ",") and JS_BEHIND.match(source, at).group(1) in (":", "(", ","):
                     kind = "id"
                 elif text == "class":
-                    klass = True
+                    klass = len(opened)
                 elif text == "case" or (text == "default" and last != "export"):
                     cases[-1] = True
                 elif text == "function":
@@ -370,8 +442,11 @@ def lex_javascript(source: str) -> list[Token]:
                 kind = "kid"
             elif text == "of" and last in ("cid", "did", "]", "}o"):
                 kind = "of"
-            elif text == "async" and re.match(r"[ \t]*(?:function\b|\(|[\w$]+[ \t]*=>)", source[at : at + 60]):
-                kind = "async" if not re.match(r"[ \t]*\((?:[^()]|\([^()]*\))*\)(?![ \t]*=>)", source[at:]) else "id"
+            elif text == "async" and JS_ASYNC.match(source, at):
+                kind = "async"
+            elif text == "async" and (m := JS_PARAMETERS.match(source, at)):
+                end = bracket_end(source, m.end() - 1)
+                kind = "async" if end < 0 or JS_ARROW.match(source, end) else "id"
             else:
                 kind = "id"
         elif group == "op":
@@ -379,13 +454,17 @@ def lex_javascript(source: str) -> list[Token]:
             if text == "(":
                 if last in ("if", "while", "for", "switch", "with", "catch") or (last == "await" and before == "for"):
                     kind = "(c"
-                elif last in ("fid", "function", "mid") or (last == "*" and before == "function") or (around == "{k" and last == "]"):
+                elif last in ("fid", "function", "mid") or (last == "*" and before == "function") or (around == "{k" and last in ("]", "str", "num")):
                     kind = "(f"
-                elif around == "{o" and last in ("id", "str", "]") and before in ("{o", ",", "id", "*"):
+                elif around == "{o" and last in ("id", "str", "num", "]") and before in ("{o", ",", "id", "*", "async"):
                     kind = "(f"
             elif text == "{":
-                if klass:
-                    kind, klass = "{k", False
+                if klass == len(opened) and last != "extends":
+                    kind, klass = "{k", -1
+                elif last == "mod" and around == "{k":
+                    kind = "{f"
+                elif last == ":" and around in ("", "{b", "{f", "{e", "{t"):
+                    kind = "{b"
                 elif last == "try":
                     kind = "{t"
                 elif last == ")f":
@@ -434,7 +513,7 @@ def javascript_pairs() -> set[tuple[str, str, str]]:
     prefix = {"!", "~", "+", "-", "typeof", "void", "delete", "await", "yield", "++", "--", "new"}
     starts = {"id", "num", "str", "tpl", "re", "(", "[", "{o", "function", "class", "async", "this", "super", "null", "true", "false", "import"} | prefix
     statements = starts | {"{b", "if", "for", "while", "do", "switch", "try", "throw", "return", "break", "continue", "const", "let", "var", "export", ";", "debugger", "with"}
-    over = {"}b", "}f", "}k", "}t", ";"}
+    over = {"}b", "}f", "}k", ";"}
     pairs: set = set()
 
     def allow(contexts, left, right, breaks=(0, 1)):
@@ -449,12 +528,14 @@ def javascript_pairs() -> set[tuple[str, str, str]]:
     for b in ["{b", "{f", "{e", "{t"]:
         allow([b], {b} | over | ends | {"return", "break", "continue", "debugger", "yield", "did"}, {closing[b]})
     allow([""], over | ends | {"return", "break", "continue", "debugger", "}i", "}x", "did"}, {"EOF"})
-    allow(blocks, {"}b", "}f", ";", "}k"}, statements | {"else", "while", "catch", "finally", "case", "default"})
+    allow(blocks, {"}b", "}f", ";", "}k"}, statements | {"else", "while", "case", "default"})
+    allow(blocks, {"}b"}, {"finally"})
     allow(blocks, {"}t"}, {"catch", "finally"})
     allow(blocks, ends - {"++", "--"} | {"++", "--"}, statements | {"case", "default", "else", "while"}, breaks=(1,))
     allow(blocks, ends | {"return", "break", "continue", "debugger", "}i", "}x", "did", "}k", "}e", "}f"}, {";"})
     allow(blocks, {"return", "break", "continue", "debugger", "}i", "}x", "did"}, statements | {"case", "default"}, breaks=(1,))
-    allow(every, ends | {"}f"}, JS_BINARY | JS_ASSIGN | {".", "?.", "(", "[", "tpl", "?", ",", ":t"})
+    allow(every, ends | {"}f"}, JS_BINARY | {".", "?.", "(", "[", "tpl", "?", ",", ":t"})
+    allow(every, {"id", "prop", "]", ")", "}o", "did", "cid"}, JS_ASSIGN)
     allow(every, ends, {"++", "--"}, breaks=(0,))
     allow(every, {"id", ")", "}o"}, {"=>"}, breaks=(0,))
     allow(["(f"], {"id", "]", "}o"}, {"=", ","})
@@ -462,7 +543,7 @@ def javascript_pairs() -> set[tuple[str, str, str]]:
     allow(every, {"=>"}, {"{e"})
     allow(every, {"++", "--"}, {"id", "this", "(", "super"})
     allow(every, {"."}, {"prop"})
-    allow(every, {"?."}, {"prop", "(", "["})
+    allow(every, {"?."}, {"oprop", "(", "["})
     allow(["new"], {"new"}, {"."})
     allow([*blocks, "(", "(c", "(f", "[", "{o"], {","}, starts | {"..."})
     allow(inner, {"(", "[", "(f"}, {"..."})
@@ -500,7 +581,10 @@ def javascript_pairs() -> set[tuple[str, str, str]]:
     # class bodies
     allow(["{k"], {"{k", "}f", ";"}, {"mid", "mod", "}k", ";", "*", "[", "str", "{b"})
     allow(["{k"], {"mod", "*"}, {"mid", "*", "[", "str", "{b", "mod"})
-    allow(["{k"], {"mid", "]"}, {"(f", "=", ";"})
+    allow(["{k"], {"mid", "]", "str", "num"}, {"(f", "=", ";"})
+    allow(["{k"], {"{k", "}f", ";", "mod", "*"}, {"num"})
+    allow(["{k"], {"mod"}, {"{f"})
+    allow(["{f"], {"{f"}, statements)
     allow(["{k"], ends | {"mid"}, {";", "}k"})
     allow(["{k"], ends | {"mid"}, {"mid", "mod", "[", "*"}, breaks=(1,))
     # statements
@@ -529,6 +613,8 @@ def javascript_pairs() -> set[tuple[str, str, str]]:
     allow(["", "{i", "{x"], {"as"}, {"id", "sid", "default", "str"})
     allow([""], {"sid", "}i", "}x"}, {"from"})
     allow([""], {"from"}, {"str"})
+    allow([""], {"str"}, {"with"})
+    allow([""], {"with"}, {"{o"})
     for c in ("{i", "{x"):
         allow([c], {c, ","}, {"id", "default", "str", closing[c]})
         allow([c], {"id", "default", "str"}, {"as", ",", closing[c]})

@@ -2,17 +2,13 @@
 
 Every file is lexed into rows of tokens. A file is suspected if a token is no token of the language, if two tokens
 stand side by side that the grammar never permits there (an anti-join with the permitted pairs, by the innermost
-open bracket, which a windowed running depth gives), if brackets don't nest, or if a statement has the form of no
-production. Where an exact parser is at hand (Python, JSON, TOML), the suspected files, and only those, are confirmed
-by it; of JavaScript the suspicion is the result.
+open bracket, which a windowed running depth gives), if brackets don't nest, if a statement has the form of no
+production, or if what a window carries along speaks against it: the order of arguments, choices without their other
+part, keys given twice. No parser is asked; the tests hold the rules against the languages' own.
 """
 
 from __future__ import annotations
 
-import ast
-import json
-import tomllib
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import lexers
 from millrace.llm.splits import normal_repo, repository_names
+from millrace.session import written
 
 OPENERS = ["(", "[", "{", "h[", "(c", "(f", "{b", "{t", "{f", "{e", "{k", "{o", "{i", "{x"]
 CLOSERS = [")", "]", "}", "h]", ")c", ")f", "}b", "}t", "}f", "}e", "}k", "}o", "}i", "}x"]
@@ -61,13 +58,20 @@ def token_rows(rows: DataFrame) -> DataFrame:
 
 def nested(tokens: DataFrame) -> DataFrame:
     """``tokens`` with ``depth``, how many brackets are open behind each, by a running sum; ``open``, the kind of the
-    innermost of them ('' for none), the last one that opened this depth; and the next token."""
+    innermost of them ('' for none), the last one that opened this depth, ``open_at`` its place (-1 for none), the next
+    token, the two before, and of Python the number and the first token of the logical line."""
     in_order = Window.partitionBy("file_id", "uid").orderBy("pos")
     step = F.when(F.col("kind").isin(OPENERS), 1).when(F.col("kind").isin(CLOSERS), -1).otherwise(0)
-    deep = tokens.withColumns({"depth": F.sum(step).over(in_order), "next_kind": F.lead("kind").over(in_order), "next_at": F.lead("at").over(in_order)})
+    begins = (F.col("language") == "python") & (F.col("at") >= 0)
+    deep = tokens.withColumns({
+        "depth": F.sum(step).over(in_order), "next_kind": F.lead("kind").over(in_order), "next_at": F.lead("at").over(in_order), "before": F.lag("kind", 1).over(in_order), "before2": F.lag("kind", 2).over(in_order),
+        "line": F.sum(F.when(begins, 1).otherwise(0)).over(in_order), "head": F.last(F.when(begins, F.col("kind")), ignorenulls=True).over(in_order),
+    })
     level = Window.partitionBy("file_id", "uid", "depth").orderBy("pos")
-    opener = F.when(F.col("kind").isin(OPENERS), F.col("kind"))
-    return deep.withColumn("open", F.when(F.col("depth") <= 0, "").otherwise(F.coalesce(F.last(opener, ignorenulls=True).over(level), F.lit("?"))))
+    opener = F.when(F.col("kind").isin(OPENERS), F.struct("kind", "pos"))
+    inner = F.last(opener, ignorenulls=True).over(level)
+    deep = deep.withColumn("_o", F.when(F.col("depth") > 0, inner))
+    return deep.withColumns({"open": F.when(F.col("depth") <= 0, "").otherwise(F.coalesce("_o.kind", F.lit("?"))), "open_at": F.coalesce("_o.pos", F.lit(-1))}).drop("_o")
 
 
 def permitted(spark: SparkSession) -> DataFrame:
@@ -88,8 +92,7 @@ def pair_faults(tokens: DataFrame) -> DataFrame:
 def python_lines(tokens: DataFrame) -> DataFrame:
     """One row per logical line of Python: (file_id, uid, line, indent, form), where ``form`` joins the kinds of its
     tokens, those inside of brackets and the closing brackets left out."""
-    in_order = Window.partitionBy("file_id", "uid").orderBy("pos")
-    own = tokens.where("language = 'python' and kind not in ('BOF', 'EOF')").withColumn("line", F.sum(F.when((F.col("at") >= 0), 1).otherwise(0)).over(in_order))
+    own = tokens.where("language = 'python' and kind not in ('BOF', 'EOF')")
     outer = own.where(((F.col("depth") == 0) | ((F.col("depth") == 1) & F.col("kind").isin("(", "[", "{"))) & ~F.col("kind").isin(")", "]", "}", "NL"))
     form = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "kind"))), lambda t: t["kind"]), " ")
     return outer.groupBy("file_id", "uid", "line").agg(F.max("at").alias("indent"), form.alias("form"))
@@ -106,7 +109,9 @@ def python_faults(lines: DataFrame) -> DataFrame:
     part = F.split("form", " ")
     first = F.when(part[0] == "async", part[1]).otherwise(part[0])
     opens = F.col("form").endswith(":")
-    off = lines.where(~F.col("form").rlike(lexers.PY_STATEMENT)).select("file_id", "uid")
+    # Simple statements may share a line.
+    alone = F.forall(F.split(F.regexp_replace("form", " ;$", ""), " ; "), lambda x: x.rlike(lexers.PY_STATEMENT))
+    off = lines.where(~F.col("form").rlike(lexers.PY_STATEMENT) & ~alone).select("file_id", "uid")
     ordered = F.array_sort(F.collect_list(F.struct("line", "indent", first.alias("word"), opens.alias("opens"))))
     per_file = lines.groupBy("file_id", "uid").agg(ordered.alias("lines"))
     frame = lambda indent, word: F.struct(indent.cast("int").alias("indent"), word.alias("word"))
@@ -139,28 +144,81 @@ def python_faults(lines: DataFrame) -> DataFrame:
     return off.union(per_file.where(folded).select("file_id", "uid"))
 
 
+def unequal_choices(lines: DataFrame) -> DataFrame:
+    """(file_id, uid) of Python files with a simple statement that has an if without its else, outside of brackets."""
+    words = F.split("form", " ")
+    count = lambda w: F.size(F.filter(words, lambda x: x == w))
+    simple = ~F.col("form").endswith(":") & ~words[0].isin("if", "elif", "else", "while", "for", "with", "async", "def", "class", "try", "except", "finally", "soft")
+    return lines.where(simple & (count("if") != count("else"))).select("file_id", "uid")
+
+
+def argument_faults(tokens: DataFrame) -> DataFrame:
+    """(file_id, uid) of Python files that call with a positional argument behind a keyword, or with one behind a ** mapping, or
+    declare a parameter without a default behind one that has it.
+
+    The tokens of a round bracket are cut into items by its own commas, a running count over the bracket; an item is told by
+    its first two tokens, and a window over the items of a bracket carries whether a keyword came before.
+    """
+    own = tokens.where("language = 'python'")
+    generic = (F.col("before") == "]") & F.col("head").isin("def", "async", "class")
+    role = F.when(F.col("before2") == "def", "def").when(F.col("before").isin("id", ")", "]") & ~generic, "call")
+    heads = own.where("kind = '('").select("file_id", "uid", F.col("pos").alias("open_at"), role.alias("role"))
+    heads = heads.where("role is not null")
+    inside = own.where("open = '(' and kind <> '('")
+    by_bracket = Window.partitionBy("file_id", "uid", "open_at").orderBy("pos")
+    items = inside.withColumn("item", F.sum(F.when(F.col("kind") == ",", 1).otherwise(0)).over(by_bracket)).where("kind not in (',', ')', ']', '}')")
+    first = items.groupBy("file_id", "uid", "open_at", "item").agg(F.min_by("kind", "pos").alias("first"), F.max(F.when(F.col("kind") == "=", 1).otherwise(0)).alias("named"), F.max(F.when(F.col("kind").isin("for", "lambda"), 1).otherwise(0)).alias("other"))
+    known = first.join(heads, ["file_id", "uid", "open_at"])
+    earlier = Window.partitionBy("file_id", "uid", "open_at").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda c: F.coalesce(F.max(F.when(c, 1).otherwise(0)).over(earlier), F.lit(0)) == 1
+    marked = known.withColumns({"after_name": seen((F.col("named") == 1) & (F.col("other") == 0)), "after_map": seen(F.col("first") == "**"), "after_star": seen(F.col("first") == "*")})
+    plain = (F.col("named") == 0) & (F.col("other") == 0) & ~F.col("first").isin("*", "**", "/")
+    call = (F.col("role") == "call") & ((plain & (F.col("after_name") | F.col("after_map"))) | ((F.col("first") == "*") & F.col("after_map")))
+    # In a definition a bare star begins the keyword-only part, where any order holds.
+    made = (F.col("role") == "def") & ((plain & F.col("after_name") & ~F.col("after_star")) | F.col("after_map"))
+    return marked.where(call | made).select("file_id", "uid")
+
+
+def choice_faults(tokens: DataFrame) -> DataFrame:
+    """(file_id, uid) of JavaScript files in one of whose brackets, or outside of all, question marks and their colons aren't
+    equally many, or more else than if came so far."""
+    own = tokens.where("language = 'javascript' and kind in ('?', ':t', 'if', 'else')")
+    so_far = Window.partitionBy("file_id", "uid", "open_at").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.sum(F.when(F.col("kind") == "if", 1).when(F.col("kind") == "else", -1).otherwise(0)).over(so_far)
+    per = own.withColumn("ifs", step).groupBy("file_id", "uid", "open_at").agg(F.count_if(F.col("kind") == "?").alias("asked"), F.count_if(F.col("kind") == ":t").alias("told"), F.min("ifs").alias("ifs"))
+    return per.where("asked <> told or ifs < 0").select("file_id", "uid")
+
+
+def toml_faults(tokens: DataFrame) -> DataFrame:
+    """(file_id, uid) of TOML files that give a key twice, or a table.
+
+    Running counts number the lines and the tables outside of brackets; the keys of a line up to its sign of equality are
+    the path of a value, those in a header that of a table. A path may occur once in its table, or inline table, and the
+    header of a plain table once between two headers of arrays of tables.
+    """
+    own = tokens.where("language = 'toml'")
+    in_order = Window.partitionBy("file_id", "uid").orderBy("pos")
+    opened = F.sum(F.when((F.col("kind") == "h[") & (F.col("depth") == 1), 1).otherwise(0)).over(in_order)
+    arrays = F.sum(F.when((F.col("kind") == "h[") & (F.col("depth") == 2), 1).otherwise(0)).over(in_order)
+    rows = own.withColumns({"table": opened, "arrays": arrays, "named": F.col("open") == "h["})
+    cuts = Window.partitionBy("file_id", "uid", "open_at").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("line", F.sum(F.when(F.col("kind").isin("NL", ",", "h["), 1).otherwise(0)).over(cuts))
+    keys = rows.where("kind = 'key'")
+    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "at"))), lambda x: x["at"].cast("string")), ".")
+    paths = keys.groupBy("file_id", "uid", "open_at", "named", "table", "line").agg(path.alias("path"), F.max("depth").alias("deep"), F.max("arrays").alias("arrays"))
+    values = paths.where("not named").groupBy("file_id", "uid", "open_at", "table", "path").agg(F.count(F.lit(1)).alias("n"))
+    tables = paths.where("named and deep = 1").groupBy("file_id", "uid", "arrays", "path").agg(F.count(F.lit(1)).alias("n"))
+    return values.where("n > 1").select("file_id", "uid").union(tables.where("n > 1").select("file_id", "uid"))
+
+
 def suspected_files(rows: DataFrame) -> DataFrame:
     """Distinct (file_id, uid) of the ``source_rows`` that some rule of the grammar speaks against."""
-    tokens = nested(token_rows(rows))
-    return pair_faults(tokens).union(python_faults(python_lines(tokens))).distinct()
-
-
-def parses(language: str, source: str) -> bool:
-    """Whether the language's own parser takes ``source``; False for JavaScript, which has none here."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            if language == "python":
-                ast.parse(source)
-            elif language == "json":
-                json.loads(source)
-            elif language == "toml":
-                tomllib.loads(source.replace("\r\n", "\n"))
-            else:
-                return False
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
-    return True
+    tokens = written(nested(token_rows(rows)))
+    lines = written(python_lines(tokens))
+    found = pair_faults(tokens)
+    for faults in (python_faults(lines), unequal_choices(lines), argument_faults(tokens), choice_faults(tokens), toml_faults(tokens)):
+        found = found.union(faults)
+    return found.distinct()
 
 
 def unparsable_files(files: DataFrame) -> DataFrame:
@@ -170,14 +228,7 @@ def unparsable_files(files: DataFrame) -> DataFrame:
     cases, repeated rows count once, an empty source is a case only in JSON. No file is cut: one file's tokens
     stay in one task, files as a whole are spread by file_id.
     """
-    rows = source_rows(files)
-    suspects = rows.join(suspected_files(rows), ["file_id", "uid"], "left_semi")
-
-    @F.pandas_udf("boolean")
-    def confirmed(languages: pd.Series, sources: pd.Series) -> pd.Series:
-        return pd.Series([not parses(lang, text) for lang, text in zip(languages, sources)], dtype=bool)
-
-    return suspects.where(confirmed("language", "source")).select("file_id").distinct()
+    return suspected_files(source_rows(files)).select("file_id").distinct()
 
 
 def parse_flags(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
