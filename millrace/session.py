@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,10 +32,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``, shared by all executors. Only where that is
-    unset, as in local tests, a temporary folder of this machine."""
+    unset in a local session, as in tests, a temporary folder of this machine; a cluster without one is an error."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-"))
     return sc.getCheckpointDir()
 
 
@@ -43,6 +48,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from a table in the shared folder that it is written to: a cut of its lineage for wide intermediate rows, which
+    take far less room in columns than in a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in the Python workers of ``spark``, once per application.
 
