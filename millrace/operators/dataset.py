@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 
+# The longest patch in characters, and the fewest words of an issue.
 MAX_PATCH, MIN_WORDS = 8000, 20
 
 
@@ -34,13 +35,16 @@ def correction_pairs(entries: DataFrame, key: str, order: list[str]) -> DataFram
     return wrong.join(right, key).where(F.col("_p") < F.col("_at")).select(key, "wrong", "right")
 
 
-def hashed_split(rows: DataFrame, key: str, validation: float, seed: int, buckets: int = 256) -> DataFrame:
+def hashed_split(rows: DataFrame, key: str, validation: float, seed: int, size: int = 50_000) -> DataFrame:
     """``rows`` with ``split``: exactly ``max(1, floor(n * validation))`` rows are validation, those first in the order
-    of a seeded digest of ``key``. Ranks are carried over buckets of the digest, so nothing is sorted as a whole."""
+    of a seeded digest of ``key``. Ranks are carried over ranges of the digest of about ``size`` rows, so nothing is sorted
+    as a whole."""
+    buckets = max(1, -(-rows.count() // size))
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
-    cut = rows.withColumn("_d", digest).withColumn("_b", F.conv(F.substring("_d", 1, 2), 16, 10).cast("int"))
+    share = F.conv(F.substring("_d", 1, 8), 16, 10).cast("bigint") * buckets
+    cut = rows.withColumn("_d", digest).withColumn("_b", F.shiftright(share, 32).cast("int"))
     sizes = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))
     rank = F.col("_n0") + F.row_number().over(Window.partitionBy("_b").orderBy("_d", key))
     limit = F.greatest(F.floor(F.col("_all") * validation), F.lit(1))

@@ -150,15 +150,16 @@ def issue_times(spark, sf_dir):
 
 
 def recorded_runs(spark, sf_dir):
-    """The readable JSON lines of the hosted runs by resolved and attempts; a patch may be a text or an object."""
+    """The readable JSON lines of the hosted runs by resolved: how many have a repository, a patch (a text, or an object with
+    one), and their tokens."""
     rows = table(spark, sf_dir, "complete_patches", "series", "source_file", "line_no", "line").distinct()
     field = lambda f: F.get_json_object("line", f"$.{f}")
     good = rows.where(F.col("line").rlike(r"^\s*\{") & F.expr("try_parse_json('[' || line || ']') is not null"))
-    return good.groupBy(field("resolved").alias("resolved")).agg(F.count(F.lit(1)).alias("lines"), F.count(field("repo")).alias("with_repo"), F.sum(F.coalesce(field("tokens").try_cast("bigint"), F.lit(0))).alias("tokens"))
+    return good.groupBy(field("resolved").alias("resolved")).agg(F.count(F.lit(1)).alias("lines"), F.count(field("repo")).alias("with_repo"), F.count_if(F.coalesce(field("patch.patch"), field("patch")) != "").alias("with_patch"), F.sum(F.coalesce(field("tokens").try_cast("bigint"), F.lit(0))).alias("tokens"))
 
 
 RECORDED_RUNS = r"""WITH l AS (SELECT DISTINCT series, source_file, line_no, line FROM complete_patches WHERE regexp_matches(line, '^\s*\{') AND json_valid(line))
-SELECT line ->> '$.resolved' AS resolved, count(*) AS lines, count(line ->> '$.repo') AS with_repo, sum(coalesce(TRY_CAST(line ->> '$.tokens' AS BIGINT), 0))::BIGINT AS tokens FROM l GROUP BY 1"""
+SELECT line ->> '$.resolved' AS resolved, count(*) AS lines, count(line ->> '$.repo') AS with_repo, count(*) FILTER (coalesce(line ->> '$.patch.patch', line ->> '$.patch') <> '') AS with_patch, sum(coalesce(TRY_CAST(line ->> '$.tokens' AS BIGINT), 0))::BIGINT AS tokens FROM l GROUP BY 1"""
 
 QUERIES = {
     "filter_reasons": filter_reasons,

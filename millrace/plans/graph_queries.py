@@ -48,7 +48,7 @@ DEGREES = f"WITH {EDGES}, d AS (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION
 
 def module_reach(spark, sf_dir):
     """What each package reaches within two edges."""
-    edges = _graph(spark, sf_dir)
+    edges = checkpointed(_graph(spark, sf_dir))
     found = graph.reach(edges, edges.select(F.col("src").alias("start")).distinct(), 2)
     return found.select("start", "node", F.col("hops").cast("bigint").alias("hops"))
 
@@ -58,7 +58,7 @@ REACH = f"WITH {EDGES}, r AS (SELECT src AS start, dst AS node, 1 AS hops FROM e
 
 def module_pagerank(spark, sf_dir):
     """Personalised PageRank after ten iterations, seeded by the packages with most imported ones (1 / rank)."""
-    edges = _graph(spark, sf_dir)
+    edges = checkpointed(_graph(spark, sf_dir))
     seeds = graph.degrees(edges).orderBy(F.desc("n_out"), "node").limit(10)
     seeds = seeds.select("node", (1 / F.row_number().over(Window.orderBy(F.desc("n_out"), "node"))).alias("share"))  # ten rows
     found = graph.pagerank(edges, seeds, ITERATIONS)
@@ -121,7 +121,7 @@ def linked_degrees(spark, sf_dir):
 
 def linked_reach(spark, sf_dir):
     """What each module reaches within two edges."""
-    edges = _linked(spark, sf_dir)
+    edges = checkpointed(_linked(spark, sf_dir))
     found = graph.reach(edges, edges.select(F.col("src").alias("start")).distinct(), 2)
     return found.select("start", "node", F.col("hops").cast("bigint").alias("hops"))
 
