@@ -22,7 +22,8 @@ def test_rows_once(spark, monkeypatch):
     assert sorted(map(tuple, distinct.rows_once(df, "id").collect()), key=repr) == sorted(want, key=repr)
     monkeypatch.setattr(distinct, "BROADCAST_KEYS", 0)
     assert distinct.rows_once(df, "id").count() == 4
-    assert distinct.rows_once(df.where("id is not null"), "id", whole=False).count() == 2
+    maps = spark.createDataFrame([(1, {"a": 1, "b": 2}), (1, {"b": 2, "a": 1}), (1, {"a": 2}), (2, None), (2, None)], "id int, m map<string,int>")
+    assert distinct.rows_once(maps, "id").count() == 3
 
 
 def test_bm25_by_hand(spark):
@@ -98,7 +99,7 @@ def test_temperature(spark):
 
 
 def test_running_rate_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(evaluation, "RANGES", 3)
+    monkeypatch.setattr(evaluation, "ROWS", 3)
     rows = spark.createDataFrame([("g", i, i % 3 == 0) for i in range(20)], "g string, i long, ok boolean")
     got = sorted((r.i, r.n, r.good) for r in evaluation.running_rate(rows, ["g"], "i", F.col("ok")).collect())
     assert got == [(i, i + 1, i // 3 + 1) for i in range(20)]
