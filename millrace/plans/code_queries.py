@@ -39,6 +39,15 @@ def repaired_patches(spark, sf_dir):
     return patches.repaired(rows, "entry_id", "patch").select("entry_id", F.sha2("patch", 256).alias("digest"))
 
 
+REPAIRED = r"""WITH e AS (SELECT DISTINCT entry_id, string_split(regexp_replace(patch, '\n$', ''), chr(10)) AS l FROM trajectories WHERE patch <> ''),
+x AS (SELECT entry_id, unnest(l) AS line, generate_subscripts(l, 1) AS place FROM e),
+h AS (SELECT *, regexp_matches(line, '^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@.*$') AS head FROM x),
+n AS (SELECT *, sum(head::INT) OVER (PARTITION BY entry_id ORDER BY place) AS hunk, NOT head AND line NOT LIKE '\%' AND NOT regexp_matches(line, '^(?:diff --git |index |--- |\+\+\+ )') AS body FROM h),
+g AS (SELECT *, count(*) FILTER (body AND line NOT LIKE '+%') OVER w AS o, count(*) FILTER (body AND line NOT LIKE '-%') OVER w AS p FROM n WINDOW w AS (PARTITION BY entry_id, hunk)),
+f AS (SELECT entry_id, place, CASE WHEN head THEN regexp_replace(line, '^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@(.*)$', '@@ -\1' || CASE WHEN o = 1 THEN '' ELSE ',' || o END || ' +\2' || CASE WHEN p = 1 THEN '' ELSE ',' || p END || ' @@\3') ELSE line END AS line FROM g)
+SELECT entry_id, sha256(string_agg(line, chr(10) ORDER BY place)) AS digest FROM f GROUP BY entry_id"""
+
+
 def file_hashes(spark, sf_dir):
     """Sources whose recorded hash is no longer theirs."""
     files = rows_once(table(spark, sf_dir, "source_files", "file_id", "source"), "file_id").where("source is not null")
@@ -50,4 +59,4 @@ FILE_HASHES = """WITH s AS (SELECT DISTINCT file_id, sha256(source) AS digest FR
 SELECT file_id, digest = file_hash AS same FROM s JOIN k USING (file_id)"""
 
 QUERIES = {"parsed_symbols": parsed_symbols, "hunk_headers": hunk_headers, "repaired_patches": repaired_patches, "file_hashes": file_hashes}
-ORACLES = {"hunk_headers": HUNKS, "file_hashes": FILE_HASHES}
+ORACLES = {"hunk_headers": HUNKS, "repaired_patches": REPAIRED, "file_hashes": FILE_HASHES}

@@ -161,6 +161,11 @@ def recorded_runs(spark, sf_dir):
 RECORDED_RUNS = r"""WITH l AS (SELECT DISTINCT series, source_file, line_no, line FROM complete_patches WHERE regexp_matches(line, '^\s*\{') AND json_valid(line))
 SELECT line ->> '$.resolved' AS resolved, count(*) AS lines, count(line ->> '$.repo') AS with_repo, count(*) FILTER (coalesce(line ->> '$.patch.patch', line ->> '$.patch') <> '') AS with_patch, sum(coalesce(TRY_CAST(line ->> '$.tokens' AS BIGINT), 0))::BIGINT AS tokens FROM l GROUP BY 1"""
 
+FIRST = "coalesce([coalesce(m.content, '') for m in messages if " + ROLE + " = '{0}'][1], '')"
+CHAT_FORMATS = f"""SELECT example_id, sha256({CHAT}) AS chat, sha256(json_object('instruction', {FIRST.format("system")}, 'input', {FIRST.format("user")}, 'output', {FIRST.format("assistant")})::VARCHAR) AS instruction,
+  sha256(json_object('conversations', [json_object('from', CASE {ROLE} WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE {ROLE} END, 'value', coalesce(m.content, '')) for m in messages])::VARCHAR) AS conversation,
+  sha256(json_object('messages', [json_object('role', {ROLE}, 'content', coalesce(m.content, '')) for m in messages])::VARCHAR) AS messages, length({CHAT}) // 4 AS tokens FROM ({RECORDS})"""
+
 QUERIES = {
     "filter_reasons": filter_reasons,
     "correction_pairs": correction_pairs,
@@ -179,6 +184,7 @@ ORACLES = {
     "filter_reasons": FILTER_REASONS,
     "correction_pairs": CORRECTION_PAIRS,
     "train_split": TRAIN_SPLIT,
+    "chat_formats": CHAT_FORMATS,
     "chat_texts": CHAT_TEXTS,
     "record_roles": RECORD_ROLES,
     "patch_stats": PATCH_STATS,
