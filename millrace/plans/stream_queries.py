@@ -45,6 +45,13 @@ def event_admission_stream(spark, sf_dir):
     return rows.select("event_id", F.col("key").alias("user_id"), "allowed")
 
 
+ADMISSION = """WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+a AS (SELECT event_id, user_id, i, [ts] AS times, true AS allowed FROM o WHERE i = 1
+  UNION ALL SELECT event_id, user_id, i, CASE WHEN len(kept) < 2 THEN kept || [ts] ELSE kept END, len(kept) < 2
+  FROM (SELECT o.*, list_filter(a.times, lambda t: t >= o.ts - INTERVAL 1 DAY) AS kept FROM a JOIN o ON o.user_id = a.user_id AND o.i = a.i + 1))
+SELECT event_id, user_id, allowed FROM a"""
+
+
 def recent_events(spark, sf_dir):
     """For each event, how many events the user had in the day up to it, itself included."""
     rows = table(spark, sf_dir, "events", "event_id", "ts", "user_id").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -80,4 +87,4 @@ QUERIES = {
     "event_histogram": event_histogram,
     "last_values": last_values,
 }
-ORACLES = {"event_windows": EVENT_WINDOWS, "event_windows_stream": EVENT_WINDOWS, "recent_events": RECENT, "event_histogram": HISTOGRAM, "last_values": LAST_VALUES}
+ORACLES = {"event_admission": ADMISSION, "event_admission_stream": ADMISSION, "event_windows": EVENT_WINDOWS, "event_windows_stream": EVENT_WINDOWS, "recent_events": RECENT, "event_histogram": HISTOGRAM, "last_values": LAST_VALUES}
