@@ -283,12 +283,44 @@ def logged_again(spark, sf_dir):
 
 LOGGED = f"""SELECT entry_id, sha256(concat_ws('|', instance_id, attempt, patch, array_to_string(localised_files, ','))) AS digest FROM ({ENTRIES})"""
 
+def imported_roots(spark, sf_dir):
+    """The top-level modules that files import, relative imports without a name left out: files and distinct repositories."""
+    files = rows_once(table(spark, sf_dir, "file_symbols", "file_id", "repo", "imports"), "file_id")
+    roots = F.array_distinct(F.filter(F.transform("imports", lambda i: F.split(i["module"], r"\.")[0]), lambda x: x != ""))
+    return files.select("file_id", "repo", F.explode(roots).alias("root")).groupBy("root").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("repo").alias("repositories"))
+
+
+IMPORTED_ROOTS = """WITH r AS (SELECT file_id, repo, unnest(list_distinct(list_filter([split_part(i.module, '.', 1) for i in imports], lambda x: x <> ''))) AS root FROM (SELECT DISTINCT file_id, repo, imports FROM file_symbols))
+SELECT root, count(*) AS files, count(DISTINCT repo) AS repositories FROM r GROUP BY root"""
+
+
+def test_sources(spark, sf_dir):
+    """The files that the names of an entry's first five wanted tests point to: of a part test_X those with the stem X or one
+    that X ends in behind an underscore, outside of test folders, the first three by path."""
+    rows = _entries(spark, sf_dir, "fail_to_pass_results").where("size(fail_to_pass_results) > 0")
+    tests = F.slice(F.array_sort(F.map_keys("fail_to_pass_results")), 1, 5)
+    parts = F.array_distinct(F.flatten(F.transform(tests, lambda t: F.regexp_extract_all(t, F.lit(r"(?:^|[./: (])test_(\w+)"), F.lit(1)))))
+    wanted = rows.select("entry_id", F.explode(parts).alias("part"))
+    files = table(spark, sf_dir, "source_files", "file_path").where("lower(file_path) like '%.py' and lower(file_path) not like '%test%'").distinct()
+    known = files.select("file_path", F.regexp_extract("file_path", r"([^/]+)\.[A-Za-z]+$", 1).alias("stem"))
+    keys = known.select("file_path", F.explode(F.array_distinct(F.array("stem", F.substring_index("stem", "_", -1)))).alias("part"))
+    found = wanted.join(keys, "part").select("entry_id", "file_path").distinct()
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("entry_id").orderBy("file_path")).cast("bigint")).where("rank <= 3")
+
+
+TEST_SOURCES = rf"""WITH p AS (SELECT DISTINCT entry_id, unnest(flatten([regexp_extract_all(t, '(?:^|[./: (])test_(\w+)', 1) for t in list_sort(map_keys(fail_to_pass_results))[1:5]])) AS part FROM ({ENTRIES}) WHERE cardinality(fail_to_pass_results) > 0),
+f AS (SELECT DISTINCT file_path, regexp_extract(file_path, '([^/]+)\.[A-Za-z]+$', 1) AS stem FROM source_files WHERE lower(file_path) LIKE '%.py' AND lower(file_path) NOT LIKE '%test%'),
+d AS (SELECT DISTINCT entry_id, file_path FROM p JOIN f ON part = stem OR part = regexp_extract(stem, '([^_]*)$', 1)),
+r AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY file_path) AS rank FROM d) SELECT * FROM r WHERE rank <= 3"""
+
 QUERIES = {
+    "imported_roots": imported_roots, "test_sources": test_sources,
     "queue_states": queue_states, "variant_summary": variant_summary, "ablation_table": ablation_table, "category_breakdown": category_breakdown, "log_statistics": log_statistics,
     "answer_formats": answer_formats, "answer_blocks": answer_blocks, "replaced_functions": replaced_functions, "log_excerpts": log_excerpts, "test_commands": test_commands, "tool_prompts": tool_prompts,
     "file_views": file_views, "context_views": context_views, "cached_files": cached_files, "file_listing": file_listing, "selected_instances": selected_instances, "open_instances": open_instances, "logged_again": logged_again,
 }
 ORACLES = {
+    "imported_roots": IMPORTED_ROOTS, "test_sources": TEST_SOURCES,
     "queue_states": QUEUE, "variant_summary": VARIANT_SUMMARY, "ablation_table": ABLATION, "category_breakdown": BREAKDOWN, "log_statistics": LOG_STATISTICS,
     "answer_formats": ANSWER_FORMATS, "answer_blocks": ANSWER_BLOCKS, "replaced_functions": REPLACED, "log_excerpts": LOG_EXCERPTS, "test_commands": TEST_COMMANDS, "tool_prompts": TOOL_PROMPTS,
     "file_views": VIEWS, "cached_files": CACHED, "file_listing": LISTING, "selected_instances": SELECTED, "open_instances": OPEN, "logged_again": LOGGED,
