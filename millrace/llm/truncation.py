@@ -187,7 +187,7 @@ def fit_censored(rows: pd.DataFrame) -> pd.DataFrame:
         holds = max(0.0, 1 - r.above / max(beyond * (n + c), 1e-9)) if c else 0.0
         censored = holds * max(beyond, density)
         # One value alone may stand there by chance; then it counts how many of the kind's sources have the limit.
-        out.append(min(SURE, max(TRANSFER_RATE, (1.0 if c > 1 else r.shared) * censored / (censored + density))))
+        out.append(min(SURE, max(TRANSFER_RATE, (1.0 if c > 1 else r.shared) * censored / max(censored + density, 1e-300))))
     return rows.assign(posterior=out)
 
 

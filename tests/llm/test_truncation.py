@@ -56,3 +56,13 @@ def test_weights_stay_finite_when_separable():
     x = np.array([[8.0, 8.0], [-8.0, -8.0]] * 50)
     w = truncation.logistic_weights(x, np.array([1.0, 0.0] * 50))
     assert np.isfinite(w).all() and np.abs(w).max() < 10
+
+
+def test_limits_far_from_all_lengths():
+    """A limit so far out that both probabilities vanish, single values, and lengths of one character."""
+    base = {"kind": "k", "source": "s", "unit": "chars", "s2": 0.0, "shared": 0.5}
+    rows = truncation.pd.DataFrame([
+        base | {"bound": 10**9, "n": 50.0, "s1": 0.0, "at": 1.0, "above": 5.0}, base | {"bound": 1, "n": 0.0, "s1": 0.0, "at": 3.0, "above": 0.0}, base | {"bound": 7, "n": 1.0, "s1": 2.0, "at": 1.0, "above": 1.0},
+    ])
+    found = truncation.fit_censored(rows)["posterior"]
+    assert all(truncation.TRANSFER_RATE <= p <= truncation.SURE for p in found)
