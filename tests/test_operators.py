@@ -152,3 +152,30 @@ def test_assignment_is_optimal():
         g = gain if shape[0] <= shape[1] else gain.T
         best = max(sum(g[i, p[i]] for i in range(small)) for p in itertools.permutations(range(large), small))
         assert sum(gain[r, c] for r, c in schema_drift.assign(gain)) == pytest.approx(best)
+
+
+def test_sparse_top_in_blocks(spark, monkeypatch):
+    """Blocks of a few rows, terms that all share and rare ones: the same as all pairs joined, with ties and terms nobody has."""
+    for name, size in (("QUERY_TERMS", 7), ("POSTINGS", 20), ("DENSE_TERMS", 2), ("PRODUCTS", 5)):
+        monkeypatch.setattr(retrieval, name, size)
+    terms = [(q, f"t{t}", 1 + (q * t) % 3) for q in range(9) for t in range(12) if (q + t) % 3 or t == 0] + [(90, "none", 1), (None, "t0", 1), (91, None, 1)]
+    postings = [(f"t{t}", d, ((d * t) % 5 - 1) / 7) for d in range(40) for t in range(14) if (d * t) % 4 < 2] + [("t0", None, 1.0)]
+    t, p = spark.createDataFrame(terms, "query long, term string, times int"), spark.createDataFrame(postings, "term string, doc int, weight double")
+    got = {(r.query, r.rank): (r.doc, r.score) for r in retrieval.sparse_top(t, p, 3).collect()}
+    want = {}
+    for q in {q for q, _, _ in terms if q is not None}:
+        sums = {}
+        for term, d, w in postings:
+            for x in (x for y, z, x in terms if y == q and z == term and d is not None):
+                sums[d] = sums.get(d, 0) + x * w
+        best = sorted((-round(s, 6), d) for d, s in sums.items() if round(s, 6) > 0)[:3]
+        want |= {(q, i + 1): (d, pytest.approx(-s)) for i, (s, d) in enumerate(best)}
+    assert got == want
+
+
+def test_bm25_makes_no_row_per_pair(spark):
+    """A word that all have: 3,000 queries and 3,000 documents meet without nine million rows."""
+    docs = retrieval.bm25_index(spark.range(3000).select(F.col("id").alias("doc"), F.array(F.lit("all"), F.col("id").cast("string")).alias("tokens")))
+    found = retrieval.bm25(spark.range(3000).select(F.col("id").alias("query"), F.array(F.lit("all"), F.col("id").cast("string")).alias("tokens")), docs, 1)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().replace("Join Cross", "")
+    assert found.where("query = doc").count() == 3000
