@@ -83,3 +83,11 @@ def test_stores(spark, tmp_path):
     now = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (None, "n")], "k long, d string")
     kept = spark.createDataFrame([(1, "x"), (1, "old"), (2, "old"), (4, "w")], "k long, d string")
     assert {r.k: r.state for r in store.cache_state(now, kept, "k", "d").collect()} == {1: "hit", 2: "stale", 3: "miss", 4: "gone"}
+
+
+def test_keyword_top_is_the_top_of_the_counts(spark):
+    texts = spark.createDataFrame([(d, " ".join(["window"] * (d % 5) + ["windows"] * (d % 2) + ["nothing"])) for d in range(20)], "doc long, text string")
+    words = spark.createDataFrame([(q, w) for q in range(4) for w in ("Window", "nothing", "tiny", "windows")[q:]], "query long, word string")
+    got = {(r.query, r.rank): (r.doc, r.n) for r in keywords.keyword_top(words, texts, 3).collect()}
+    counts = [(r.query, -r.n, r.doc) for r in keywords.keyword_counts(words, texts).collect()]
+    assert got == {(q, i + 1): (d, -n) for q in {q for q, _, _ in counts} for i, (_, n, d) in enumerate(sorted(c for c in counts if c[0] == q)[:3])}
