@@ -91,3 +91,14 @@ def test_keyword_top_is_the_top_of_the_counts(spark):
     got = {(r.query, r.rank): (r.doc, r.n) for r in keywords.keyword_top(words, texts, 3).collect()}
     counts = [(r.query, -r.n, r.doc) for r in keywords.keyword_counts(words, texts).collect()]
     assert got == {(q, i + 1): (d, -n) for q in {q for q, _, _ in counts} for i, (_, n, d) in enumerate(sorted(c for c in counts if c[0] == q)[:3])}
+
+
+def test_personal_top_held_and_joined(spark, monkeypatch):
+    """A graph held by the tasks gives the best of the ranks that joins give, seeds outside of it included."""
+    graph_ = spark.createDataFrame([(i, (i * 7 + j) % 30, 1.0 + j) for i in range(25) for j in range(1, 4) if i != (i * 7 + j) % 30], "src long, dst long, weight double")
+    seeds = spark.createDataFrame([(q, (q * 5 + i) % 35, 1 / (i + 1)) for q in range(8) for i in range(3)] + [(50, 77, 2.0), (51, 1, None), (None, 1, 1.0)], "query long, node long, share double")
+    held = {(r.query, r.rank): (r.node, r.score) for r in graph.personal_top(graph_, seeds, 4, damping=0.3).collect()}
+    monkeypatch.setattr(graph, "HELD_EDGES", 0)
+    joined = {(r.query, r.rank): (r.node, r.score) for r in graph.personal_top(graph_, seeds, 4, damping=0.3).collect()}
+    assert held == joined and held[50, 1] == (77, 1.0) and {q for q, _ in held} == {*range(8), 50}
+    assert graph.personal_top(graph_.limit(0), seeds.where("query = 50"), 4).collect() == [(50, 77, 1.0, 1)]
