@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
+from millrace.session import written
 
 # The longest patch in characters, and the fewest words of an issue.
 MAX_PATCH, MIN_WORDS = 8000, 20
+#: About so many pairs of a query and a document of one name are made by one task.
+PAIRS = 1 << 18
 
 
 def rejection(category: Column, patch: Column, problem: Column) -> Column:
@@ -127,10 +130,27 @@ def last_localised(entries: DataFrame) -> DataFrame:
     return entries.where("size(localised_files) > 0").groupBy("instance_id").agg(F.max_by("localised_files", F.struct("attempt", "entry_id")).alias("localised_files"))
 
 
-def hard_negatives(gold: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query, gold, doc, label): each of ``gold``(query, doc) as a positive of itself, label 1, and with it the query's
-    ``hits``(query, doc) that are no gold of the query, label 0."""
-    gold = gold.distinct()
-    wrong = hits.join(gold, ["query", "doc"], "left_anti")
-    positive = gold.select("query", F.col("doc").alias("gold"), "doc", F.lit(1).alias("label"))
-    return positive.unionByName(gold.withColumnRenamed("doc", "gold").join(wrong, "query").select("query", "gold", "doc", F.lit(0).alias("label")))
+def hard_negatives(wanted: DataFrame, docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query, gold, doc, label, digest): each document with a name that the query wants as a positive of itself, label 1, and
+    with it the query's ``hits``(query, doc) that have none, label 0. ``wanted`` is (query, name), ``docs`` (doc, name,
+    digest); a document may have several rows.
+
+    Queries meet documents by name, with their own negatives beside them, so no pair of a query and a document is shuffled;
+    names with many such pairs are dealt over tasks, PAIRS to each.
+    """
+    wanted = written(wanted.distinct())
+    docs = written(docs.distinct().groupBy("doc").agg(F.array_sort(F.collect_set("name")).alias("names"), F.collect_list("digest").alias("digests")))
+    named = docs.select("*", F.explode("names").alias("name"))
+    each = lambda doc, digests, label: F.transform(digests, lambda x: F.struct(doc.alias("doc"), F.lit(label).alias("label"), x.alias("digest")))
+    sizes = wanted.groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(named.groupBy("name").agg(F.count(F.lit(1)).alias("m")), "name")
+    sizes = written(sizes.select("name", F.ceil(F.col("n") * F.col("m") / PAIRS).cast("int").alias("parts")))
+    known = hits.join(docs, "doc").groupBy("query").agg(F.collect_list(F.struct("names", each(F.col("doc"), F.col("digests"), 0).alias("rows"))).alias("known"))
+    asked = wanted.join(sizes, "name").groupBy("query").agg(F.collect_list("name").alias("asked"), F.collect_list(F.struct("name", "parts")).alias("places")).join(known, "query", "left")
+    wrong = F.filter("known", lambda h: ~F.arrays_overlap(h["names"], F.col("asked")))
+    asked = asked.select("query", "asked", F.flatten(F.transform(wrong, lambda h: h["rows"])).alias("wrong"), F.inline("places"))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int"))
+    dealt = named.join(sizes, "name").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # A document with several wanted names is gold once.
+    met = asked.join(dealt.drop("parts"), ["name", "part"]).where((F.size("names") == 1) | (F.col("name") == F.array_intersect("names", "asked")[0]))
+    positive = each(F.col("doc"), F.col("digests"), 1)
+    return met.select("query", F.col("doc").alias("gold"), F.inline(F.when(F.col("wrong").isNull(), positive).otherwise(F.concat(positive, "wrong"))))

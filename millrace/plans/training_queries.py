@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.operators import dataset, retrieval
 from millrace.plans.dataset_queries import ENTRIES, REJECTION, _entries, _reason
-from millrace.plans.retrieval_queries import BM25, _files, _index, _issues, summary
+from millrace.plans.retrieval_queries import BM25, _files, _index, every_issue, summary
 from millrace.session import checkpointed
 from millrace.sources.tables import table
 
@@ -100,24 +100,26 @@ SELECT entry_id, digest, CASE WHEN r <= greatest(floor(n * 0.2), 1) THEN 'valida
 
 
 def hard_negatives(spark, sf_dir):
-    """For every file that has the name of one in an issue's patch a positive record, and with it those of the issue's five
-    best files by words that have not; the files' summaries by digest."""
-    entries = table(spark, sf_dir, "trajectories", "entry_id", "patch").where("entry_id % 20 = 0").distinct()
+    """For every file that has the name of one in an entry's patch a positive record, and with it those of the five best files
+    by the words of the entry's issue that have not; the files' whole summaries by digest."""
+    entries = table(spark, sf_dir, "trajectories", "entry_id", "patch")
     name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
     files = _files(spark, sf_dir).where("file_path is not null")
-    docs = checkpointed(files.select(F.col("file_id").alias("doc"), name(F.col("file_path")).alias("name"), F.sha2(F.substring(summary(), 1, 500), 256).alias("digest")))
-    wanted = entries.select(F.col("entry_id").alias("query"), F.explode(text.diff_files(F.col("patch"))).alias("path")).select("query", name(F.col("path")).alias("name")).distinct()
-    gold = wanted.join(docs, "name").select("query", "doc")
-    hits = retrieval.bm25(_issues(spark, sf_dir), _index(spark, sf_dir), 5).select("query", "doc")
-    found = dataset.hard_negatives(gold, hits)
-    return found.join(docs.select("doc", "digest"), "doc").select(F.col("query").alias("entry_id"), F.col("gold").alias("gold_id"), F.col("doc").alias("file_id"), F.col("label").cast("bigint").alias("label"), "digest")
+    docs = files.select(F.col("file_id").alias("doc"), name(F.col("file_path")).alias("name"), F.sha2(summary(), 256).alias("digest"))
+    wanted = entries.select(F.col("entry_id").alias("query"), F.explode(text.diff_files(F.col("patch"))).alias("path")).select("query", name(F.col("path")).alias("name"))
+    issues = every_issue(spark, sf_dir)
+    words = issues.select("query", F.flatten(F.transform("texts", text.tokens)).alias("tokens"))
+    hits = retrieval.bm25(words, _index(spark, sf_dir), 5).select("query", "doc")
+    hits = hits.join(issues.select("query", F.explode("entries.entry_id").alias("entry_id")), "query").select(F.col("entry_id").alias("query"), "doc")
+    found = dataset.hard_negatives(wanted, docs, hits)
+    return found.select(F.col("query").alias("entry_id"), F.col("gold").alias("gold_id"), F.col("doc").alias("file_id"), F.col("label").cast("bigint").alias("label"), "digest")
 
 
 def _hard_negatives_sql() -> str:
     from millrace.plans.retrieval_queries import SUMMARY
 
-    return BM25 + rf""", hd AS (SELECT DISTINCT file_id AS doc, regexp_extract(file_path, '([^/]+)$', 1) AS name, sha256(({SUMMARY})[1:500]) AS digest FROM file_symbols WHERE coalesce(parse_error, '') = '' AND file_path IS NOT NULL),
-wa AS (SELECT DISTINCT entry_id, regexp_extract(p, '([^/]+)$', 1) AS name FROM (SELECT entry_id, unnest(regexp_extract_all(coalesce(patch, ''), '(?m)^(?:\+\+\+|---)[ \t]+[ab]/([^\s]+)', 1)) AS p FROM trajectories WHERE entry_id % 20 = 0)),
+    return BM25.replace(" WHERE entry_id % 20 = 0", "") + rf""", hd AS (SELECT DISTINCT file_id AS doc, regexp_extract(file_path, '([^/]+)$', 1) AS name, sha256({SUMMARY}) AS digest FROM file_symbols WHERE coalesce(parse_error, '') = '' AND file_path IS NOT NULL),
+wa AS (SELECT DISTINCT entry_id, regexp_extract(p, '([^/]+)$', 1) AS name FROM (SELECT entry_id, unnest(regexp_extract_all(coalesce(patch, ''), '(?m)^(?:\+\+\+|---)[ \t]+[ab]/([^\s]+)', 1)) AS p FROM trajectories)),
 go AS (SELECT DISTINCT entry_id, doc FROM wa JOIN hd USING (name)), hi AS (SELECT entry_id, doc FROM ranked WHERE rank <= 5 AND score > 0 ANTI JOIN go USING (entry_id, doc)),
 al AS (SELECT entry_id, doc AS gold_id, doc, 1 AS label FROM go UNION ALL SELECT entry_id, go.doc, hi.doc, 0 FROM go JOIN hi USING (entry_id))
 SELECT entry_id, gold_id, doc AS file_id, label::BIGINT AS label, digest FROM al JOIN hd USING (doc)""".replace("FROM ranked WHERE rank <= 5 AND score > 0 ANTI JOIN go USING (entry_id, doc)", "FROM ranked ANTI JOIN go USING (entry_id, doc) WHERE rank <= 5 AND score > 0")
