@@ -25,6 +25,8 @@ DOCS = [(1, "a/one.py", LONG + "first"), (2, "b/one.py", LONG + "second"), (3, "
 def tables(spark, tmp_path):
     spark.createDataFrame(ENTRIES, "entry_id long, problem_statement string, patch string").write.parquet(str(tmp_path / "trajectories.parquet"))
     spark.createDataFrame([(*d, [], [], []) for d in DOCS], SYMBOLS.replace("parse_error string, module_docstring string", "module_docstring string")).selectExpr("*", "'' as parse_error").write.parquet(str(tmp_path / "file_symbols.parquet"))
+    sources = [(1, "a/one.py", "Lanterns and lantern = copper"), (2, "b/two.py", "lantern"), (3, "c/test_one.py", "lantern"), (4, "d/four.py", "copperplate copper"), (5, "e/none.py", None), (6, "f/six.py", "lantern or broken"), (6, "f/six.py", "lantern or broken")]
+    spark.createDataFrame(sources, "file_id long, file_path string, source string").write.parquet(str(tmp_path / "source_files.parquet"))
     return str(tmp_path)
 
 
@@ -44,3 +46,12 @@ def test_names_dealt_over_tasks(spark, tables, monkeypatch):
     """However few pairs a task may make, the same rows."""
     monkeypatch.setattr(dataset, "PAIRS", 2)
     compare(spark, tables, catalog.QUERIES["hard_negatives"], catalog.ORACLES["hard_negatives"])
+
+
+def test_keyword_files_of_every_entry(spark, tables):
+    got = {(r.entry_id, r.rank): (r.file_id, r.n) for r in catalog.QUERIES["keyword_files"](spark, tables).collect()}
+    broken = {(e, r): x for e in (7, 9, 23) for r, x in enumerate([(1, 2), (6, 2), (2, 1)], 1)}
+    copper = {(20, r): x for r, x in enumerate([(1, 3), (4, 2), (2, 1)], 1)}
+    alone = {(None, r): x for r, x in enumerate([(1, 2), (2, 1), (6, 1)], 1)}
+    assert got == broken | copper | alone
+    compare(spark, tables, catalog.QUERIES["keyword_files"], catalog.ORACLES["keyword_files"])
