@@ -42,3 +42,12 @@ def test_terms_in_matrices_and_along_postings(monkeypatch, cells):
         own = [(t, n) for t, i, n in queries if i == q]
         sums = sorted(((-sum(n * weights.get((t, 7 * d), 0) for t, n in own), 7 * d) for d in range(1500)))[:5]
         assert [(-r["score"], r["doc"]) for r in got if r["query"] == q] == [x for x in sums if x[0] < 0]
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_sums_that_single_precision_cannot_tell(sign):
+    """Documents whose scores differ by less than single precision holds stand in the order of their exact sums."""
+    postings = [(f"t{t}", d, 1000.0 + sign * (d % 50) * 1e-5) for d in range(800) for t in range(3)] + [("t3", d, 1e-6) for d in range(800, 900)]
+    got = retrieval.block_top(block([(f"t{t}", q, 1) for q in range(2) for t in range(3)] + [("t3", 2, 1)], "query"), block(postings, "doc"), 20).to_pylist()
+    best = sorted(range(800), key=lambda d: (-sign * (d % 50), d))[:20]
+    assert [r["doc"] for r in got] == best * 2 + list(range(800, 820))
